@@ -73,20 +73,25 @@ def grade_compatible(supplier_edges: DataFrame, port_edges: DataFrame, refinery_
     """Whether any crude that reaches the port of a port-refinery edge fits the refinery's window.
 
     A port no crude reaches is compatible; a port reached only by crudes of unknown grade is not.
-    Crudes are reduced to distinct (port, gravity, sulfur) before they meet refineries.
+    Crudes and windows are reduced to distinct ones per port, and windows meet crudes only in the
+    whole-degree gravity bands they cover.
     """
-    crudes = supplier_edges.select("network_id", "corridor", "api_gravity", "sulfur_pct").distinct()
-    at_port = port_edges.select("network_id", "corridor", "port").join(crudes, ["network_id", "corridor"]).select(
-        "network_id", "port", "api_gravity", "sulfur_pct", F.lit(True).alias("reaches")).distinct()
-    fits = F.coalesce(
-        F.col("api_gravity").between(F.col("api_gravity_min"), F.col("api_gravity_max"))
-        & (F.col("sulfur_pct") <= F.col("sulfur_tolerance")), F.lit(False))
-    windows = refineries.select("network_id", "refinery", "api_gravity_min", "api_gravity_max", "sulfur_tolerance")
-    return (
-        refinery_edges.select("network_id", "port", "refinery").join(windows, ["network_id", "refinery"])
-        .join(at_port, ["network_id", "port"], "left").groupBy("network_id", "port", "refinery")
-        .agg(F.when(F.count("reaches") == 0, True).otherwise(F.bool_or(fits)).alias("grade_compatible"))
-    )
+    port, window = ["network_id", "port"], ["api_gravity_min", "api_gravity_max", "sulfur_tolerance"]
+    crudes = supplier_edges.groupBy("network_id", "corridor", "api_gravity").agg(F.min("sulfur_pct").alias("sulfur_pct"))
+    at_port = port_edges.select("network_id", "corridor", "port").distinct().join(crudes, ["network_id", "corridor"]) \
+        .groupBy(*port, "api_gravity").agg(F.min("sulfur_pct").alias("sulfur_pct"))
+    rows = refinery_edges.select("network_id", "port", "refinery").join(
+        refineries.select("network_id", "refinery", *window), ["network_id", "refinery"])
+    bands = rows.filter("api_gravity_min <= api_gravity_max").select(*port, *window).distinct().withColumn(
+        "band", F.explode(F.sequence(F.floor("api_gravity_min"), F.floor("api_gravity_max"))))
+    # At one gravity the least sulfur decides whether any crude fits.
+    fits = at_port.withColumn("band", F.floor("api_gravity")).join(bands, [*port, "band"]).filter(
+        "api_gravity BETWEEN api_gravity_min AND api_gravity_max AND sulfur_pct <= sulfur_tolerance") \
+        .select(*port, *window).distinct().withColumn("fits", F.lit(True))
+    reached = at_port.select(*port).distinct().withColumn("reached", F.lit(True))
+    return rows.join(fits, [*port, *window], "left").join(reached, port, "left").select(
+        "network_id", "port", "refinery",
+        (F.coalesce("fits", F.lit(False)) | F.col("reached").isNull()).alias("grade_compatible"))
 
 
 def apply_risk(edges: DataFrame, risk: DataFrame) -> DataFrame:

@@ -84,6 +84,25 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def match_stored_leaders(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Earliest matching leader of every row (null if none) among any number of leaders per key.
+
+    Rows and leaders (story_key, event_id, at, norm) are both cut into bounded chunks; every pair of
+    chunks reports at most one leader per row and the earliest of those wins.
+    """
+    sized = leaders.groupBy("story_key").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("parts"))
+    cut = leaders.join(sized, "story_key").withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int"))
+    keyed = lambda df: df.withColumn("story_key", F.concat_ws("#", "part", "story_key"))
+    spread = rows.join(sized, "story_key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["story_key", "event_id", "at", "norm"]
+    found = _chunked_match(keyed(spread).select(columns), keyed(cut).select(columns)).filter("story_id IS NOT NULL") \
+        .withColumn("story_key", F.regexp_replace("story_key", "^[0-9]+#", ""))
+    at = leaders.select("story_key", F.col("event_id").alias("story_id"), F.col("at").alias("leader_at"))
+    best = found.join(at, ["story_key", "story_id"]).groupBy("story_key", "event_id").agg(
+        F.min(F.struct("leader_at", "story_id")).alias("b")).select("story_key", "event_id", F.col("b.story_id").alias("story_id"))
+    return rows.select(columns).join(best, ["story_key", "event_id"], "left")
+
+
 def assign_stories(events: DataFrame, keys: tuple = ("corridor",), batch: int = BATCH) -> DataFrame:
     """(story_key, event_id, story_id) of every event; story_id is the founding event's id.
 
