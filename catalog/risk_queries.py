@@ -27,12 +27,12 @@ def event_weights(spark, sf):
     return S.weighted_events(risk_events(spark, sf), now()).select("event_id", r6("weight").alias("weight"))
 
 
-@query("normalized_values", f"""WITH {EV} SELECT event_id, round({score_sql('(value - 20) / 40', 'baseline')}, 6) AS severity_score,
+@query("normalized_values", f"""WITH {EV} SELECT event_id, round({score_sql('(value - 20) / 37', 'baseline')}, 6) AS severity_score,
 round({saturating_sql('(value - 20)', 'baseline', 25.0)}, 6) AS saturating_score FROM ev JOIN base USING (corridor)""")
 def normalized_values(spark, sf):
     e = risk_events(spark, sf).join(risk_corridors(spark, sf), F.col("corridor") == F.col("name"))
     b, raw = F.col("baseline_risk"), F.col("value") - 20
-    return e.select("event_id", r6(normalize_severity(raw / 40, b)).alias("severity_score"),
+    return e.select("event_id", r6(normalize_severity(raw / 37, b)).alias("severity_score"),
                     r6(normalize_saturating(raw, b)).alias("saturating_score"))
 
 
