@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from straitline.session import checkpointed
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -140,7 +142,8 @@ def network(spark, sf_dir) -> DataFrame:
     from straitline.operators.network import build_network
 
     p = network_parts(spark, sf_dir)
-    return build_network(p["suppliers"], p["ports"], p["feeds"], p["refineries"])
+    # The network is far smaller than the lines it is summed from, and every operator reads it often.
+    return checkpointed(build_network(p["suppliers"], p["ports"], p["feeds"], p["refineries"]))
 
 
 def region_risk(spark, sf_dir) -> DataFrame:
@@ -150,7 +153,7 @@ def region_risk(spark, sf_dir) -> DataFrame:
 def risky_network(spark, sf_dir) -> DataFrame:
     from straitline.operators.network import apply_risk
 
-    return apply_risk(network(spark, sf_dir), region_risk(spark, sf_dir))
+    return checkpointed(apply_risk(network(spark, sf_dir), region_risk(spark, sf_dir)))
 
 
 NET = """flat AS (SELECT l_returnflag AS net, 'S' || l_suppkey AS s, r_name AS c, p_brand AS p, 'P' || l_partkey AS r, p_size, l_quantity AS q

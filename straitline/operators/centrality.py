@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from straitline import constants as K
+from straitline.session import checkpointed
 
 _TIE = 1e-9
 
@@ -52,11 +53,11 @@ def betweenness(edges: DataFrame, weight: str | None = None) -> DataFrame:
     into = layer(0).select("network_id", F.col("dst").alias("supplier"), F.col("dist").alias("first")).join(
         c_of_s, ["network_id", "supplier"]).select(
             "network_id", "supplier", "corridor", (F.col("first") + F.col("dist")).alias("dist"), F.lit(1.0).alias("paths"))
-    source = _nearest(into, ["network_id", "corridor"])
+    source = checkpointed(_nearest(into, ["network_id", "corridor"]))
     out = layer(4).select("network_id", F.col("src").alias("refinery"), F.col("dist").alias("last")).join(
         r_of_p, ["network_id", "refinery"]).select(
             "network_id", "refinery", "port", (F.col("last") + F.col("dist")).alias("dist"), F.lit(1.0).alias("paths"))
-    sink = _nearest(out, ["network_id", "port"])
+    sink = checkpointed(_nearest(out, ["network_id", "port"]))
 
     one = F.lit(1).cast("long")
     corridors = core.select("network_id", "c").distinct()
@@ -77,13 +78,15 @@ def betweenness(edges: DataFrame, weight: str | None = None) -> DataFrame:
                     F.col("paths").alias("a_paths"), F.col("mult").alias("u_mult"))
     b = right.select("network_id", F.col("end").alias("w"), F.col("via").alias("p"), F.col("dist").alias("b_dist"),
                      F.col("paths").alias("b_paths"), F.col("mult").alias("w_mult"))
-    ways = a.join(core, ["network_id", "c"]).join(b, ["network_id", "p"]).withColumn(
-        "dist", F.col("a_dist") + F.col("core_dist") + F.col("b_dist"))
+    ways = checkpointed(a.join(core, ["network_id", "c"]).join(b, ["network_id", "p"]).withColumn(
+        "dist", F.col("a_dist") + F.col("core_dist") + F.col("b_dist")))
     least = ways.groupBy("network_id", "u", "w").agg(F.min("dist").alias("least"))
     tight = ways.join(least, ["network_id", "u", "w"]).filter(F.col("dist") <= F.col("least") + _TIE).withColumn(
         "n", F.col("a_paths") * F.col("b_paths"))
     totals = tight.groupBy("network_id", "u", "w").agg(F.sum("n").alias("total"))
-    shares = tight.join(totals, ["network_id", "u", "w"]).withColumn("share", F.col("n") / F.col("total"))
+    # Read for corridors and for ports.
+    shares = checkpointed(tight.join(totals, ["network_id", "u", "w"]).select(
+        "network_id", "u", "w", "c", "p", "u_mult", "w_mult", (F.col("n") / F.col("total")).alias("share")))
 
     weighted = F.col("share") * F.col("u_mult") * F.col("w_mult")
     corridor_b = shares.filter(~F.col("u").startswith("corridor:")).groupBy("network_id", F.col("c").alias("node")).agg(

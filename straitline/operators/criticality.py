@@ -8,7 +8,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 from straitline import constants as K
 from straitline.operators.centrality import betweenness
 from straitline.operators.flow import SCENARIO, corridor_bits, flow_by_scenario, flow_value, port_components, sink_inflow
-from straitline.operators.network import residual_by_corridor, residual_port_need
+from straitline.operators.network import apply_risk, residual_by_corridor, residual_port_need
+from straitline.session import checkpointed
 
 BASE = "base"
 RANK_KEYS = {"capacity_loss": ("static_capacity_loss", "capacity_loss"), "centrality": ("static_centrality", "centrality")}
@@ -40,7 +41,7 @@ def _base_scenarios(edges: DataFrame) -> DataFrame:
 
 def cut_losses(edges: DataFrame, capacity: str, components: DataFrame) -> DataFrame:
     """(network_id, corridor, loss): flow lost when the corridor is closed."""
-    flows = flow_by_scenario(edges, cut_scenarios(edges), capacity, components)
+    flows = checkpointed(flow_by_scenario(edges, cut_scenarios(edges), capacity, components))
     base = flows.filter(F.col("scenario_id") == BASE).select("network_id", F.col("flow").alias("base"))
     return flows.filter(F.col("scenario_id") != BASE).join(base, "network_id").select(
         "network_id", F.substring_index("scenario_id", "cut:", -1).alias("corridor"), (F.col("base") - F.col("flow")).alias("loss"))
@@ -55,8 +56,9 @@ def corridor_criticality(edges: DataFrame, risk: DataFrame, rank_by: str = "capa
         raise ValueError(f"rank_by must be one of {tuple(RANK_KEYS)}, got {rank_by!r}")
     components = port_components(edges)
     key = ["network_id", "corridor"]
-    central = lambda weight, name: betweenness(edges, weight).filter("layer = 2").select(
-        "network_id", F.col("node").alias("corridor"), F.col("centrality").alias(name))
+    # Each measure is one row per corridor; materialising them keeps the combined plan small.
+    central = lambda weight, name: checkpointed(betweenness(edges, weight).filter("layer = 2").select(
+        "network_id", F.col("node").alias("corridor"), F.col("centrality").alias(name)))
     risk_keys = key if "network_id" in risk.columns else ["corridor"]
     rows = (
         corridor_bits(edges).select("network_id", "corridor")
@@ -109,13 +111,13 @@ def scenario_impact(edges: DataFrame, scenarios: DataFrame, refineries: bool = T
     core = checked.select("network_id", "scenario_id", "corridor", "degradation_pct", "supply_reduction")
     asked = core.unionByName(_base_scenarios(edges))
     components = port_components(edges)
-    flows = flow_by_scenario(edges, asked, components=components)
+    flows = checkpointed(flow_by_scenario(edges, asked, components=components))
     base = flows.filter(F.col("scenario_id") == BASE).select("network_id", F.col("flow").alias("baseline_flow"))
     impact = checked.join(flows.filter(F.col("scenario_id") != BASE), list(SCENARIO)).join(base, "network_id") \
         .withColumnRenamed("flow", "flow_after").withColumn("capacity_loss", F.col("baseline_flow") - F.col("flow_after"))
     if not refineries:
         return impact, None
-    inflow = sink_inflow(edges, asked, components=components)
+    inflow = checkpointed(sink_inflow(edges, asked, components=components))
     affected = affected_sinks(inflow.filter(F.col("scenario_id") == BASE), inflow.filter(F.col("scenario_id") != BASE))
     counts = affected.groupBy(*SCENARIO).agg(
         F.count("*").alias("affected_count"), F.sum("shortfall").alias("refinery_shortfall"))
@@ -216,7 +218,7 @@ def network_summary(edges: DataFrame, top: int = 5) -> DataFrame:
         F.count_distinct(F.when(F.col("layer") == 4, F.col("src"))).alias("refineries"))
     supply = edges.filter("layer = 0").groupBy("network_id").agg(F.sum("volume").alias("supply"))
     components = port_components(edges)
-    flow = flow_value(edges, "volume", components)
+    flow = checkpointed(flow_value(edges, "volume", components))
     cuts = cut_losses(edges, "volume", components).groupBy("network_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("corridor", "loss")))).alias("flow_lost"))
     order = W.partitionBy("network_id").orderBy(F.desc("centrality"), "node")
@@ -231,15 +233,13 @@ def candidate_criticality(edges: DataFrame, scores: DataFrame, static_flow: Data
 
     ``scores`` (candidate, corridor, score). Adds the share of the static flow lost to risk.
     """
-    from straitline.operators.network import apply_risk
-
     # Candidates are a handful of formula names: each gets its own copy of the network.
     names = scores.select("candidate").distinct()
     copies = edges.join(names).withColumn("network_id", F.concat_ws("|", "network_id", "candidate")).drop("candidate")
     networks = edges.select("network_id").distinct().join(names).select(
         "network_id", "candidate", F.concat_ws("|", "network_id", "candidate").alias("copy_id"))
     risk = networks.join(scores, "candidate").select(F.col("copy_id").alias("network_id"), "corridor", F.col("score").alias("risk"))
-    risky = apply_risk(copies, risk)
+    risky = checkpointed(apply_risk(copies, risk))
     rows = corridor_criticality(risky, risk)
     flows = flow_value(risky).join(flow_value(copies, "volume").withColumnRenamed("flow", "static_flow"), "network_id")
     lost = 100.0 * (F.col("static_flow") - F.col("flow")) / F.col("static_flow")
