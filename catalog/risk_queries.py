@@ -100,12 +100,14 @@ def candidate_scores(spark, sf):
 # --- stories over documents -------------------------------------------------------------
 
 def document_events(spark, sf):
-    """Documents as events: the language as corridor, the whole first line as headline, ten minutes apart."""
+    """Documents as events: the language as corridor, the first sentence as headline, ten minutes apart.
+
+    A headline is limited like any title."""
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("event_id"), F.col("lang").alias("corridor"), "source",
         (F.col("n_chars") % 5 + 1).cast("int").alias("severity"), ((F.col("n_chars") % 10 + 1) / F.lit(10.0)).alias("confidence"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 600).alias("ts"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"))
+        F.substring(F.split_part("text", F.lit("."), F.lit(1)), 1, K.TITLE_LIMIT).alias("title"))
 
 
 def document_corridors(spark, sf):

@@ -21,10 +21,10 @@ def running_sums(df: DataFrame, keys: list[str], order: list, sums: dict[str, st
         df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    lifts = totals.select(
-        *keys, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    lifts = totals.select(  # a key may be null
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
     inner = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        ranged.join(lifts, [*keys, "_range"])
+        ranged.join(lifts, [F.col("_range") == F.col("_r")] + [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
         .select(*df.columns, *[(F.sum(c).over(inner) + F.col(f"_b_{n}")).alias(n) for n, c in sums.items()])
     )

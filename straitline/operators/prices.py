@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from straitline import constants as K
 
-_BY_DATE = W.partitionBy("series").orderBy("date")
+
+def _by_date():
+    return W.partitionBy("series").orderBy("date")
 
 
 def daily_returns(prices: DataFrame) -> DataFrame:
     """Percent change against the previous published row; rows after a zero price are dropped."""
     return (
-        prices.withColumn("prev_usd", F.lag("price_usd").over(_BY_DATE))
+        prices.withColumn("prev_usd", F.lag("price_usd").over(_by_date()))
         .filter("prev_usd IS NOT NULL AND prev_usd <> 0")
         .select("series", "date", "price_usd", "prev_usd",
                 ((F.col("price_usd") - F.col("prev_usd")) / F.col("prev_usd") * 100.0).alias("pct_change"))
@@ -74,7 +76,7 @@ def find_run_up(prices: DataFrame, low: float | Column, high: float | Column, to
     low, high = (F.lit(x) if isinstance(x, (int, float)) else x for x in (low, high))
     price = F.col("price_usd")
     decides = (price <= low + tolerance) | (price >= high - tolerance)
-    after = _BY_DATE.rowsBetween(1, W.unboundedFollowing)
+    after = _by_date().rowsBetween(1, W.unboundedFollowing)
     marked = prices.withColumn("starts", price <= low + tolerance) \
         .withColumn("peaks", (price > low + tolerance) & (price >= high - tolerance)) \
         .withColumn("mark", F.when(decides, F.struct("peaks", F.col("date").alias("peak"), F.col("price_usd").alias("peak_usd"))))

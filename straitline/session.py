@@ -42,6 +42,12 @@ def _checkpoint_dir_ready(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="straitline-checkpoint-"))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder every executor can reach: the cluster's checkpoint folder."""
+    _checkpoint_dir_ready(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that lost executors never restart a loop."""
     _checkpoint_dir_ready(df.sparkSession)
