@@ -31,19 +31,48 @@ def contains_term(col: Column, terms: Iterable[str]) -> Column:
     return col.rlike(rf"(?U)(?<!\w)(?:{choices})s?(?!\w)")
 
 
+def _given(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def match_corridors(title: Column, url: Column, themes: Column | None = None) -> Column:
-    """Ordered array of corridors: clear names on topic first, then hints on shipping."""
+    """Ordered array of corridors: clear names on topic first, then hints on shipping.
+
+    Few rows name a corridor at all, so names are looked for first and the long word lists are
+    only tried on rows that hold one.
+    """
     haystack = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(url, F.lit(""))))
-    maritime = contains_term(haystack, K.MARITIME_TERMS)
-    topical = maritime | contains_term(haystack, K.TOPIC_TERMS)
-    if themes is not None:
-        for theme in K.TOPIC_THEMES:
-            topical = topical | F.coalesce(F.contains(themes, F.lit(theme)), F.lit(False))
-    named = {name: topical & contains_term(haystack, terms) for name, terms in K.CORRIDOR_TERMS.items()}
-    found = [F.when(test, F.lit(name)) for name, test in named.items()]
-    for name, terms in K.CORRIDOR_HINT_TERMS.items():
-        found.append(F.when(~named[name] & maritime & contains_term(haystack, terms), F.lit(name)))
-    return F.array_compact(F.array(*found))
+    clear, hinted = list(K.CORRIDOR_TERMS), list(K.CORRIDOR_HINT_TERMS)
+    on_theme = F.lit(False)
+    for theme in K.TOPIC_THEMES if themes is not None else ():
+        on_theme = on_theme | F.coalesce(F.contains(themes, F.lit(theme)), F.lit(False))
+
+    def names(text):
+        return F.struct(
+            text.alias("text"),
+            *[contains_term(text, K.CORRIDOR_TERMS[c]).alias(f"n{i}") for i, c in enumerate(clear)],
+            *[contains_term(text, K.CORRIDOR_HINT_TERMS[c]).alias(f"h{i}") for i, c in enumerate(hinted)])
+
+    def gates(hit):
+        named, hints = F.lit(False), F.lit(False)
+        for i in range(len(clear)):
+            named = named | hit[f"n{i}"]
+        for i in range(len(hinted)):
+            hints = hints | hit[f"h{i}"]
+        maritime = F.when(named | hints, contains_term(hit["text"], K.MARITIME_TERMS)).otherwise(False)
+        topical = F.when(named, on_theme | contains_term(hit["text"], K.TOPIC_TERMS)).otherwise(False)
+        return F.struct(hit.alias("hit"), maritime.alias("maritime"), topical.alias("topical"))
+
+    def corridors(gate):
+        hit, topical = gate["hit"], gate["maritime"] | gate["topical"]
+        found = [F.when(topical & hit[f"n{i}"], F.lit(c)) for i, c in enumerate(clear)]
+        for i, c in enumerate(hinted):
+            taken = topical & hit[f"n{clear.index(c)}"]
+            found.append(F.when(~taken & gate["maritime"] & hit[f"h{i}"], F.lit(c)))
+        return F.array_compact(F.array(*found))
+
+    return _given(_given(_given(haystack, names), gates), corridors)
 
 
 def first_corridor(matches: Column) -> Column:
