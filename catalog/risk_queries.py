@@ -18,6 +18,7 @@ from straitline.operators import scoring as S
 from straitline.operators import series as SE
 from straitline.operators import stories as ST
 from straitline.plans.backtest import run_backtest
+from straitline.session import spread
 
 # --- weights and statistics -----------------------------------------------------------
 
@@ -103,7 +104,7 @@ def document_events(spark, sf):
     """Documents as events: the language as corridor, the first sentence as headline, ten minutes apart.
 
     A headline is limited like any title."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("event_id"), F.col("lang").alias("corridor"), "source",
         (F.col("n_chars") % 5 + 1).cast("int").alias("severity"), ((F.col("n_chars") % 10 + 1) / F.lit(10.0)).alias("confidence"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 600).alias("ts"),

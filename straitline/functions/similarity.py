@@ -16,7 +16,7 @@ from straitline import constants as K
 
 WINDOW_MICROS = K.STORY_WINDOW_DAYS * 86_400_000_000
 _WORD = 64
-_PAIRS_AT_ONCE = 1 << 16
+_PAIRS_AT_ONCE = 1 << 13
 _PAD = 37  # after blank, digits and letters: matches nothing
 _CODES = np.zeros(128, dtype=np.uint8)
 _CODES[48:58] = np.arange(1, 11)
@@ -39,11 +39,12 @@ class TitleBlock:
             self.chars[i, : len(title)] = _CODES[np.frombuffer(title.encode("ascii"), dtype=np.uint8)]
             bits = np.uint64(1) << (at % _WORD).astype(np.uint64)
             np.bitwise_or.at(self.masks, (i, self.chars[i, : len(title)], at // _WORD), bits)
+        self.counts = np.bitwise_count(self.masks).sum(axis=2, dtype=np.int16)
         self._matchers = {}
 
     def _common_subsequence(self, left, right):
         """Length of the longest common subsequence of each (left, right) pair of titles."""
-        words = self.words
+        words = int(-(-self.lengths[right].max() // _WORD))
         state = [np.full(len(left), np.iinfo(np.uint64).max, dtype=np.uint64) for _ in range(words)]
         for step in range(int(self.lengths[left].max())):
             masks = self.masks[right, self.chars[left, step]]
@@ -71,7 +72,15 @@ class TitleBlock:
         totals = self.lengths[left] + self.lengths[right]
         keep = 2.0 * np.minimum(self.lengths[left], self.lengths[right]) / totals >= threshold
         open_pairs = np.flatnonzero(keep & (left != right))
-        open_pairs = open_pairs[np.argsort(self.lengths[left[open_pairs]], kind="stable")]
+        # Characters in common, whatever their order, bound the subsequence and cost far less.
+        for start in range(0, len(open_pairs), _PAIRS_AT_ONCE):
+            part = open_pairs[start : start + _PAIRS_AT_ONCE]
+            shared = np.minimum(self.counts[left[part]], self.counts[right[part]]).sum(axis=1)
+            keep[part] = 2.0 * shared / totals[part] >= threshold
+        open_pairs = open_pairs[keep[open_pairs]]
+        # Pairs of like size together: a block takes as many words and steps as its longest titles.
+        order = np.lexsort((self.lengths[left[open_pairs]], -(-self.lengths[right[open_pairs]] // _WORD)))
+        open_pairs = open_pairs[order]
         for start in range(0, len(open_pairs), _PAIRS_AT_ONCE):
             part = open_pairs[start : start + _PAIRS_AT_ONCE]
             common = self._common_subsequence(left[part], right[part])

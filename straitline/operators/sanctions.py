@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from straitline.functions.text import stripped
 
-GRAM = 3
+PIECES = (1, 2, 3, 6, 12)  # a name is looked up by its rarest piece of the largest size it can hold
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -18,15 +18,15 @@ def _grams(text: Column, size: Column) -> Column:
 def screen_actors(actors: DataFrame, sanctions: DataFrame, actor: str = "actor") -> DataFrame:
     """Add ``sanctioned``: the actor's name, trimmed and lower-cased, is part of any listed name.
 
-    Only distinct names are compared. A name that contains the actor's contains every three-letter
-    piece of it, so an actor meets the listed names that share its rarest piece and no others;
-    names of one or two letters use pieces of that size. Empty actors are never sanctioned.
+    Only distinct names are compared. A name that contains the actor's contains every piece of it,
+    so an actor meets the listed names that share its rarest piece and no others. Pieces are as long
+    as the actor's name allows, up to twelve letters. Empty actors are never sanctioned.
     """
     needle = F.lower(stripped(F.coalesce(F.col(actor), F.lit(""))))
     needles = actors.select(needle.alias("needle")).filter("needle <> ''").distinct().withColumn(
-        "size", F.least(F.lit(GRAM), F.length("needle")))
+        "size", F.array_max(F.filter(F.array(*map(F.lit, PIECES)), lambda n: n <= F.length("needle"))))
     names = sanctions.select(F.lower("name").alias("listed")).filter("listed <> ''").distinct()
-    sizes = names.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(GRAM)))).filter(F.length("listed") >= F.col("size"))
+    sizes = names.withColumn("size", F.explode(F.array(*map(F.lit, PIECES)))).filter(F.length("listed") >= F.col("size"))
     pieces = sizes.select("listed", "size", F.explode(_grams(F.col("listed"), F.col("size"))).alias("gram"))
     frequency = pieces.groupBy("size", "gram").agg(F.count("*").alias("names"))
     asked = needles.select("needle", "size", F.explode(_grams(F.col("needle"), F.col("size"))).alias("gram")) \

@@ -25,8 +25,8 @@ from straitline.functions.similarity import WINDOW_MICROS, first_leaders, resolv
 from straitline.functions.text import normalize_title
 from straitline.session import checkpointed
 
-BATCH = 1000
-CHUNK = 1000
+BATCH = 2000  # events settled per corridor and round, and founders a chunk meets
+CHUNK = 1000  # later events per chunk
 
 
 def _with_key(events: DataFrame, keys: tuple) -> DataFrame:
@@ -108,9 +108,9 @@ def assign_stories(events: DataFrame, keys: tuple = ("corridor",), batch: int =
 
     ``events`` needs the key columns, event_id (unique within a key), ts and title.
     """
-    titled = _titled(events, keys)
+    titled = checkpointed(_titled(events, keys))
     parts = [titled.filter("norm = ''").select("story_key", "event_id", F.col("event_id").alias("story_id"))]
-    pending = checkpointed(titled.filter("norm <> ''"))
+    pending = titled.filter("norm <> ''")
     order = W.partitionBy("story_key").orderBy("at", "event_id")
     while not pending.isEmpty():
         head = pending.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= batch).drop("place")
