@@ -53,7 +53,7 @@ def _(spark, sf_dir):
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
       AND len([x FOR x IN embedding IF x <> 0]) > 0),
-  d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.e, c.e) AS score
+  d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(q.e, c.e)])) AS score
     FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM d)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {vptree.NEIGHBOURS}""")
