@@ -14,6 +14,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -232,8 +233,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: s
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "text", model: str = VOCABULARY) -> DataFrame:
     """``encoded`` with the texts of its ids as column ``out``; null ids give a null text."""
-    import pandas as pd
-
     path = tokenizer_path(model)
 
     @F.pandas_udf("string")
