@@ -18,7 +18,6 @@ from straitline.operators import scoring as S
 from straitline.operators import series as SE
 from straitline.operators import stories as ST
 from straitline.plans.backtest import run_backtest
-from straitline.session import spread
 
 # --- weights and statistics -----------------------------------------------------------
 
@@ -101,23 +100,23 @@ def candidate_scores(spark, sf):
 # --- stories over documents -------------------------------------------------------------
 
 def document_events(spark, sf):
-    """Documents as events: the language as corridor, the first sentence as headline, ten minutes apart.
-
-    A headline is limited like any title."""
-    return spread(table(spark, sf, "documents")).select(
-        F.col("doc_id").alias("event_id"), F.col("lang").alias("corridor"), "source",
-        (F.col("n_chars") % 5 + 1).cast("int").alias("severity"), ((F.col("n_chars") % 10 + 1) / F.lit(10.0)).alias("confidence"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 600).alias("ts"),
-        F.substring(F.split_part("text", F.lit("."), F.lit(1)), 1, K.TITLE_LIMIT).alias("title"))
+    """Web pages as events: the language as corridor, the host as source, the whole title as headline, ten minutes apart."""
+    return table(spark, sf, "pages").select(
+        F.col("page_id").alias("event_id"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("corridor"),
+        F.regexp_extract("url", "^https?://([^/]+)", 1).alias("source"),
+        (F.length("html") % 5 + 1).cast("int").alias("severity"), ((F.length("html") % 10 + 1) / F.lit(10.0)).alias("confidence"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 600).alias("ts"),
+        F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
 
 
 def document_corridors(spark, sf):
-    return table(spark, sf, "documents").select(F.col("lang").alias("name")).distinct().withColumn("baseline_risk", F.lit(0.1))
+    return document_events(spark, sf).select(F.col("corridor").alias("name")).distinct().withColumn("baseline_risk", F.lit(0.1))
 
 
 def _after_documents(spark, sf):
-    """Scoring instant: ten days into the documents' clock."""
-    return F.lit("2024-01-11 16:30:00").cast("timestamp")
+    """Scoring instant: that of the last page."""
+    last = table(spark, sf, "pages").agg(F.max("page_id")).first()[0]
+    return F.timestamp_seconds(F.lit(1704067200 + 600 * (last or 0)))
 
 
 @query("similar_titles")
@@ -148,9 +147,10 @@ def story_weight_totals(spark, sf):
 
 
 # Exact titles only: each event's story is its title, so SQL can follow the strongest member rule.
-_BEST = """WITH d AS (SELECT doc_id, lang, n_chars % 5 + 1 AS sev, CAST(n_chars % 10 + 1 AS DOUBLE) / CAST(10 AS DOUBLE) AS conf, source,
-  TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 10 AS BIGINT)) AS ts FROM documents),
-w AS (SELECT *, sev * conf * exp(-CAST(0.1 AS DOUBLE) * greatest(CAST(0 AS DOUBLE), (epoch_us(TIMESTAMP '2024-01-11 16:30:00') - epoch_us(ts)) / CAST(86400000000 AS DOUBLE))) AS w FROM d),
+_BEST = """WITH d AS (SELECT page_id AS doc_id, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, length(html) % 5 + 1 AS sev,
+  CAST(length(html) % 10 + 1 AS DOUBLE) / CAST(10 AS DOUBLE) AS conf, regexp_extract(url, '^https?://([^/]+)', 1) AS source,
+  TIMESTAMP '2024-01-01' + to_minutes(CAST(page_id * 10 AS BIGINT)) AS ts FROM pages),
+w AS (SELECT *, sev * conf * exp(-CAST(0.1 AS DOUBLE) * greatest(CAST(0 AS DOUBLE), (epoch_us((SELECT max(ts) FROM d)) - epoch_us(ts)) / CAST(86400000000 AS DOUBLE))) AS w FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY w DESC, ts, doc_id) AS k, count(*) OVER (PARTITION BY lang, source) AS members,
   min(doc_id) OVER (PARTITION BY lang, source) AS story_id FROM w)
 SELECT lang AS corridor, story_id, round(w, 6) AS weight, CAST(sev AS INTEGER) AS severity, conf AS confidence, members FROM r WHERE k = 1"""
@@ -158,7 +158,7 @@ SELECT lang AS corridor, story_id, round(w, 6) AS weight, CAST(sev AS INTEGER) A
 
 @query("strongest_members", _BEST)
 def strongest_members(spark, sf):
-    """The strongest-member rule on given groups: all documents of one source and language."""
+    """The strongest-member rule on given groups: all pages of one host and language."""
     from pyspark.sql import Window as W
 
     e = document_events(spark, sf)
@@ -291,13 +291,14 @@ def window_event_counts(spark, sf):
 
 # --- point in time ----------------------------------------------------------------------------------
 
-_DAYS = f"days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day)"
+_DAYS = "days AS (SELECT CAST(unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM events)"
 
 
-def _january(spark, sf):
+def _calendar(spark, sf):
+    """Every day from the first event to the day after the last."""
     from straitline.functions.times import as_of
 
-    span = table(spark, sf, "events").agg(F.lit("2024-01-01").cast("date").alias("a"), F.lit("2024-01-31").cast("date").alias("b"))
+    span = table(spark, sf, "events").agg(F.to_date(F.min("ts")).alias("a"), F.date_add(F.to_date(F.max("ts")), 1).alias("b"))
     return span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("day")).withColumn("as_of", as_of(F.col("day")))
 
 
@@ -307,15 +308,15 @@ def _seen_sql(lookback: int, extra: str) -> str:
 SELECT corridor, strftime(day, '%Y-%m-%d') AS day, count(*) AS events{extra} FROM s GROUP BY ALL"""
 
 
-@query("as_of_totals", _seen_sql(9, ", round(sum(w), 6) AS weight"))
+@query("as_of_totals", _seen_sql(180, ", round(sum(w), 6) AS weight"))
 def as_of_totals(spark, sf):
-    out = P.as_of_totals(risk_events(spark, sf), _january(spark, sf), 9)
+    out = P.as_of_totals(risk_events(spark, sf), _calendar(spark, sf), 180)
     return out.select("corridor", day("day").alias("day"), "events", r6("weight").alias("weight"))
 
 
-@query("events_by_as_of", _seen_sql(3, ""))
+@query("events_by_as_of", _seen_sql(180, ""))
 def events_by_as_of(spark, sf):
-    seen = P.events_by_as_of(risk_events(spark, sf), _january(spark, sf), 3)
+    seen = P.events_by_as_of(risk_events(spark, sf), _calendar(spark, sf), 180)
     return seen.groupBy("corridor", day("day").alias("day")).agg(F.count("*").alias("events"))
 
 

@@ -15,7 +15,6 @@ from straitline.operators import articles as A
 from straitline.operators import extraction as E
 from straitline.operators.sanctions import attach_port, screen_actors
 from straitline.operators.views import latest_events, risk_history
-from straitline.session import spread
 from straitline.sources import landing, stores
 
 WORD = r"[\p{L}\p{M}\p{N}_]"
@@ -31,7 +30,7 @@ _TERMS = ("the", "of", "de la", "und", "re")
 
 @query("text_terms", f"SELECT doc_id, {term_sql('lower(text)', _TERMS)} AS hit FROM documents")
 def text_terms(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", X.contains_term(F.lower("text"), _TERMS).alias("hit"))
+    return table(spark, sf, "documents").select("doc_id", X.contains_term(F.lower("text"), _TERMS).alias("hit"))
 
 
 # Frequent words stand in for the vocabulary, so that real matches occur in whole texts.
@@ -50,7 +49,7 @@ def _headlines(spark, sf):
     col = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
     for old, new in _STAND_INS:
         col = F.replace(col, F.lit(old), F.lit(new))
-    return spread(table(spark, sf, "documents")).withColumn("title", col).withColumn("url", F.concat(F.lit("http://"), "source", F.lit("/a")))
+    return table(spark, sf, "documents").withColumn("title", col).withColumn("url", F.concat(F.lit("http://"), "source", F.lit("/a")))
 
 
 def _match_sql() -> str:
@@ -155,7 +154,7 @@ def replies(spark, sf):
         .when(shape == 6, s('{"corridor": "Panama", "severity": null, "confidence": %d, "is_relevant": 1, "actor": null}', k))
         .otherwise(s('{"corridor": "cape of good hope", "severity": %d, "confidence": 0.25, "is_relevant": true, "event_type": "shipping", "actor": "x"}', (k / 10).cast("int")))
     )
-    return spread(table(spark, sf, "events").select("event_id", "event_type", "user_id", "props")).select("event_id", "event_type", "user_id", k.alias("k"), reply.alias("reply"))
+    return table(spark, sf, "events").select("event_id", "event_type", "user_id", "props").select("event_id", "event_type", "user_id", k.alias("k"), reply.alias("reply"))
 
 
 REPLY = "rep AS (SELECT event_id, event_type, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
@@ -298,7 +297,7 @@ def _hosts(spark, sf):
 @query("first_sightings", "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS url, min(page_id) AS page_id FROM pages GROUP BY 1")
 def first_sightings_query(spark, sf):
     pages = _hosts(spark, sf)
-    return A.dedupe_by_url(pages.filter("NOT secure OR secure"), order=["page_id"]).select("url", "page_id")
+    return A.dedupe_by_url(pages, order=["page_id"]).select("url", "page_id")
 
 
 @query("new_articles", """WITH h AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS url, page_id, url LIKE 'https%' AS secure FROM pages)

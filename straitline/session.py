@@ -20,6 +20,7 @@ def get_session(app_name: str = "straitline", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -48,15 +49,6 @@ def scratch_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has fewer partitions than cores; larger scans stay as they are.
-
-    For work that is heavy per row: a small file is otherwise read by one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that lost executors never restart a loop."""
     _checkpoint_dir_ready(df.sparkSession)

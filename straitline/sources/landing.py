@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +26,7 @@ def _archive_text(content: bytes, path: str):
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             names = archive.namelist()
             return archive.read(names[0]).decode("utf-8", errors="replace") if names else None
-    except (zipfile.BadZipFile, ValueError, OSError):
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, ValueError, OSError):
         return None
 
 
@@ -131,14 +132,17 @@ def read_feed_entries(spark: SparkSession, path: str, limit: int = K.FEED_LIMIT)
 
 def read_sanctions(spark: SparkSession, path: str) -> DataFrame:
     """Headerless sanctions list; null cells become empty, short and unnamed rows are dropped."""
-    raw = spark.read.csv(path, schema=schemas.SANCTIONS, header=False, mode="PERMISSIVE",
-                         quote='"', escape='"', multiLine=False)
+    columns = schemas.SANCTIONS.fieldNames().index("program") + 1
+    lines = spark.read.text(path)
+    # An empty cell and a missing one both parse as null: whether a row is short is told by its commas outside quotes.
+    cells = F.size(F.split(F.regexp_replace("value", '"([^"]|"")*"', "q"), ",", -1))
+    raw = lines.filter(cells >= columns).select(
+        F.from_csv("value", schemas.SANCTIONS.simpleString()[7:-1].replace(":", " "), {"quote": '"', "escape": '"'}).alias("row")).select("row.*")
     def clean(name):
         value = X.stripped(F.coalesce(F.col(name), F.lit("")))
         return F.when(value == K.SANCTIONS_NULL, F.lit("")).otherwise(value).alias(name)
     return (
-        raw.filter("program IS NOT NULL")
-        .select(*[clean(c) for c in ("ent_num", "name", "entity_type", "program")])
+        raw.select(*[clean(c) for c in ("ent_num", "name", "entity_type", "program")])
         .filter("name <> ''")
     )
 

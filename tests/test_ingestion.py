@@ -168,3 +168,8 @@ def test_network_seed_defaults(spark, tmp_path):
     assert seed["corridors"].first().baseline_risk == 0.1 and seed["refineries"].first().min_run_rate == 0.70
     assert seed["alternatives"].first().transits_corridors == [] and seed["suppliers"].first().sanctioned is False
     assert flow_value(network_from_seed(seed)).first().flow == pytest.approx(0.4)
+
+
+def test_sanctions_keep_listed_names_without_a_program(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('4,"X, Y",,\n5,"SHORT",""\n6,Z,-0- ,P,more,columns\n7,"",,\n')
+    assert sorted(tuple(r) for r in landing.read_sanctions(spark, str(tmp_path / "s.csv")).collect()) == [("4", "X, Y", "", ""), ("6", "Z", "", "P")]
