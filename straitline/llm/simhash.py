@@ -155,7 +155,7 @@ def similar_candidates(prints: DataFrame, columns: list[str], width: int, simila
     """Pairs ``a, b`` of keys whose fingerprints are as close as those of texts of ``similarity`` (three deviations of slack).
 
     Within a bucket rows are ordered by the rest of their fingerprint, beginning after the bucket's own segment, and each is
-    compared with the ``REACH`` rows before it: a dense group is linked along that order, never pair by pair, and each
+    compared with the ``REACH`` rows before it and linked to the nearest similar one: a dense group is linked along that order, never pair by pair, and each
     segment orders it anew.
     """
     bits = SEGMENTS * width
@@ -171,7 +171,8 @@ def similar_candidates(prints: DataFrame, columns: list[str], width: int, simila
         rows = rows.withColumn(f"before{back}", F.lag(F.struct("key", *columns), back).over(order))
         other = [f"before{back}.{c}" for c in columns]
         found.append(F.when(hamming(columns, other) <= most, F.col(f"before{back}.key")))
-    return rows.select("key", F.explode(F.array_compact(F.array(*found))).alias("other")).select(
+    # A link to the nearest similar row before it holds a row to its group; more would grow with the group's size.
+    return rows.select("key", F.coalesce(*found).alias("other")).filter("other is not null").select(
         F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).filter("a <> b").distinct()
 
 
