@@ -21,6 +21,8 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents of a language that the model is fitted on, in the mean; a hash of id and text decides.
 SAMPLE_PER_LANGUAGE = 400
 ROUNDS = 2
+#: Languages up to which their sizes are broadcast.
+MANY = 10_000
 #: Added to each expected count.
 SMOOTHING = 0.01
 #: Words are cut into stretches of this many characters, which keeps products within double precision.
@@ -136,6 +138,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
     # The share to take follows from a language's size: no language is ever gathered to be ranked.
     sizes = rows.groupBy("lang").agg(F.count("*").alias("of"))
     chance = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    if sizes.limit(MANY + 1).count() <= MANY:  # else the texts would be dealt by language
+        sizes = F.broadcast(sizes)
     sample = rows.join(sizes, "lang").filter(chance < F.lit(float(per_language)) / F.col("of")).select("id", "text", "lang").distinct()
     explode = arrow_map(sample.select("lang", "text"),
                         lambda ls, ts: list(zip(*((l, w) for l, t in zip(ls, ts) for w in words_of(t)))) or [[], []], "lang string, word string")
