@@ -16,6 +16,10 @@ from pyspark.sql.types import StructType
 from straitline.session import scratch_folder
 
 
+#: Rows that a worker holds as Python objects at a time.
+ROWS = 500
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the cluster's shared folder and read again: lineage ends there, and Spark knows its size."""
     path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -38,8 +42,8 @@ def arrow_map(df: DataFrame, fn: Callable[..., Iterator], schema: str | StructTy
     def run(batches):
         out = to_arrow_schema(kind)
         for batch in batches:
-            if batch.num_rows:
-                columns = fn(*(c.to_pylist() for c in batch.columns))
+            for at in range(0, batch.num_rows, ROWS):
+                columns = fn(*(c.to_pylist() for c in batch.slice(at, ROWS).columns))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type, from_pandas=True) for c, f in zip(columns, out, strict=True)], schema=out)
 

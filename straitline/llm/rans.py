@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from straitline.llm.common import arrow_map, stored, tokenizer_path
-from straitline.llm.tokens import encoder
+from straitline.llm.common import arrow_map, load_tokenizer, stored, tokenizer_path
+from straitline.llm.tokens import encoder, forget
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Bits of the frequencies' sum, of the words of the stream, and the least state.
 SCALE, WORD, LOW = 20, 32, 1 << 31
 #: Lanes of a block, steps between checkpoints, tokens from which a block is closed.
-LANES, CHECKPOINT, BLOCK_TOKENS = 256, 128, 1 << 18
+LANES, CHECKPOINT, BLOCK_TOKENS = 1024, 128, 1 << 18
 #: Magic, version, tokens, lanes, steps a checkpoint, checkpoints, words, checksum of the tokens and of the stream.
 HEADER = struct.Struct("<4sHIHHIIII")
 MAGIC, VERSION = b"SRAN", 1
@@ -99,15 +99,16 @@ def decode_block(payload: bytes, freq: np.ndarray, start: np.ndarray, slots: np.
     steps = -(-n // lanes)
     rows, column = np.arange(marks)[:, None] * every, np.arange(lanes)[None, :]
     for s in range(min(every, steps)):
-        active = (rows + s) * lanes + column < n
+        full = ((marks - 1) * every + s + 1) * lanes <= n  # else some lanes have come to their end
+        active = full or (rows + s) * lanes + column < n
         slot = state & mask
         token = slots[slot]
         out[:, s] = token
         x = freq[token] * (state >> np.uint64(SCALE)) + slot - start[token]
-        short = (x < low) & active
+        short = x < low if full else (x < low) & active
         place = at[:, None] + np.cumsum(short, axis=1) - 1
         x = np.where(short, x << np.uint64(WORD) | stream[np.where(short, place, size)], x)
-        state = np.where(active, x, state)
+        state = x if full else np.where(active, x, state)
         at += short.sum(axis=1)
     tokens = out.reshape(-1)[:n]
     if zlib.crc32(tokens.astype("<u4").tobytes()) != crc_tokens:
@@ -125,25 +126,30 @@ def _starts(freq: np.ndarray) -> np.ndarray:
 
 # --- files -----------------------------------------------------------------------
 
+def stored_type(vocabulary: str = VOCABULARY) -> str:
+    """The type, little-endian, in which ids of a vocabulary wait between jobs: 16 bits if they fit, else 32."""
+    return "<u2" if load_tokenizer(tokenizer_path(vocabulary)).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """``id, ids``: the token ids of each document with the end id, 32-bit little-endian; a null text is the end id alone."""
-    path = tokenizer_path(vocabulary)
+    """``id, ids``: the token ids of each document with the end id, of ``stored_type``; a null text is the end id alone."""
+    path, narrow = tokenizer_path(vocabulary), stored_type(vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(ids, texts):
         encode = encoder(path, False, True).encode
-        return [ids, [own + end.to_bytes(4, "little") for own in encode(texts)]]
+        return [ids, [np.append(np.frombuffer(own, "<u4"), np.uint32(end)).astype(narrow).tobytes() for own in encode(texts)]]
 
     return arrow_map(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`")), run, f"id {kind}, ids binary")
 
 
-def frequencies(tokens: DataFrame) -> np.ndarray:
+def frequencies(tokens: DataFrame, kind: str = "<u4") -> np.ndarray:
     """Counts of all ids, quantised. The driver gets a row for each id of the vocabulary."""
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
             for ids in b.column(0):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+                own = np.bincount(np.frombuffer(ids.as_buffer(), kind))
                 if own.size > total.size:
                     total = np.concatenate((total, np.zeros(own.size - total.size, np.int64)))
                 total[:own.size] += own
@@ -156,19 +162,20 @@ def frequencies(tokens: DataFrame) -> np.ndarray:
     return quantised(counts)
 
 
-def write_tokens(tokens: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Write ``id, ids`` as files in ascending order of ids: nulls first, equal ids in a fixed order of their tokens.
+def write_tokens(tokens: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS, narrow: str = "<u4") -> None:
+    """Write ``id, ids`` (integers of type ``narrow``) as files in ascending order of ids: nulls first, equal ids in a fixed order of their tokens.
 
     Documents are dealt by ranges of (id, hash of tokens), so that an id that very many rows repeat is split too.
     """
     spark = tokens.sparkSession
-    freq = frequencies(tokens)
+    freq = frequencies(tokens, narrow)
     spark.createDataFrame([(VERSION, freq.astype("<u4").tobytes())], "version int, frequencies binary").coalesce(1).write.parquet(f"{path}/model")
     shared = spark.sparkContext.broadcast(freq)
     kind = tokens.schema["id"].dataType
     ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "ids")
 
     def blocks(batches):
+        forget()
         freq = shared.value
         start, part, number = _starts(freq), TaskContext.get().partitionId(), 0
         docs: list = []
@@ -188,7 +195,7 @@ def write_tokens(tokens: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS)
 
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), b.column(1)):
-                own = np.frombuffer(ids.as_py(), "<u4")
+                own = np.frombuffer(ids.as_py(), narrow)
                 docs.append((doc, own.size))
                 held.append(own)
                 size += own.size
@@ -219,6 +226,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     placed = inside.join(before, "part").select("part", "block", (F.col("before") + F.col("inside")).alias("first"))
 
     def decode(first: list, ids: list, sizes: list, payloads: list) -> list:
+        forget()
         freq = shared.value
         start, slots = _starts(freq), slot_table(freq)
         docs, begins, tokens = [], [], []
@@ -236,5 +244,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode ``docs`` into files at ``path`` and read them back: ``id, start, ids``."""
-    write_tokens(stored(tokenize(docs, id_col, text), "tokens"), path)
+    write_tokens(stored(tokenize(docs, id_col, text), "tokens"), path, narrow=stored_type())
     return read_tokens(docs.sparkSession, path)

@@ -18,7 +18,7 @@ LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Marks that form a token of their own behind letters; the apostrophe, which also starts contractions, isn't among them.
 PUNCTUATION = r"!-&(-/:-@\[-`{-~"
 #: Stretches that a worker remembers at a time, besides as many that it remembered before.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -41,6 +41,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # what was known until ``known`` had to start anew
         self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
 
     def _split(self, text: str) -> list[str]:
         """Stretches that tokens never cross."""
@@ -57,13 +58,17 @@ class Encoder:
         """Ids of a single pre-token, straight from the library's model."""
         ids = self.words.get(word)
         if ids is None:
+            ids = self.words_before.get(word)
+            if ids is not None:
+                self.words[word] = ids
+                return ids
             written = word.translate(self.written) if word[0] < "A" or not word.isascii() else word
             ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
         return ids
 
     def _learn(self, stretches: set[str]) -> None:
         if len(self.words) > REMEMBERED:
-            self.words.clear()
+            self.words, self.words_before = {}, self.words
         known, rest, word, fold = self.known, [], self._word, self.fold
         for s in stretches:
             if s in self.before:
@@ -98,3 +103,8 @@ def encoder(path: str, spaces: bool, fold: bool) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(path, spaces, fold)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Let go of what the worker's encoders remember, for work of another kind."""
+    _encoders.clear()
