@@ -50,6 +50,20 @@ def arrow_map(df: DataFrame, fn: Callable[..., Iterator], schema: str | StructTy
     return df.mapInArrow(run, kind)
 
 
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def hold_alone(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Let ``owner`` be the one operator that this worker process remembers things for; what others remember is cleared.
+
+    Workers outlive their tasks and serve one stage after the other, so that their caches would otherwise add up.
+    """
+    for other in [x for x in _holders if x != owner]:
+        _holders.pop(other)()
+        pa.default_memory_pool().release_unused()
+    _holders[owner] = clear
+
+
 def ascii_lower(text: str | None) -> bytes:
     """UTF-8 with A-Z in lower case and nothing else changed; null counts as empty."""
     return (text or "").encode("utf-8", "surrogatepass").lower()

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from straitline.llm.common import arrow_map, fresh, stored, tokenizer_path
+from straitline.llm.common import ROWS, arrow_map, fresh, hold_alone, stored, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents of a language that the model is fitted on, in the mean; a hash of id and text decides.
@@ -174,6 +174,11 @@ _values = [np.empty((0, 0))]
 _owner = [None]
 
 
+def _forget() -> None:
+    _known.clear()
+    _owner[0], _values[0] = None, np.empty((0, 0))
+
+
 def _scores(texts: list, model_id: int, model: LanguageModel) -> tuple[list[str], list[float]]:
     """Language and posterior probability (equal priors) of each text."""
     pieces, longest = load_pieces(model.path)
@@ -210,7 +215,12 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", lang_out:
 
     @F.pandas_udf("lang string, score double")
     def tell(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = _scores(texts.tolist(), model_id, shared.value)
+        hold_alone("language_id", _forget)
+        langs, scores = [], []
+        for at in range(0, len(texts), ROWS):  # the words of a whole batch would be many times its size
+            some, sure = _scores(texts.iloc[at:at + ROWS].tolist(), model_id, shared.value)
+            langs += some
+            scores += sure
         return pd.DataFrame({"lang": langs, "score": scores})
 
     keep = [c for c in docs.columns if c.lower() not in (lang_out.lower(), score_out.lower())]

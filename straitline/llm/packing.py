@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from straitline.llm.common import stored, tokenizer_path
+from straitline.llm.common import ROWS, stored, tokenizer_path
 from straitline.llm.tokens import encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
 
         def rows():
             nonlocal count
-            for batch in batches:
+            for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
                 for doc, own in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                     ids = own + END.to_bytes(4, "little")
                     for full in packer.put((doc, len(ids) // 4), ids):

@@ -15,7 +15,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from straitline.llm.common import arrow_map, fresh
+from straitline.llm.common import arrow_map, fresh, hold_alone
 
 #: The base detectors' patterns (fixed values). Look-behinds only spare them what cannot start a match.
 EMAIL_LOCAL, EMAIL_HOST = re.compile(r"[A-Za-z0-9._%+-]*\Z"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -245,6 +245,7 @@ def mask_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
+        hold_alone("pii")
         return texts.map(masked, na_action="ignore")
 
     return docs.withColumn(new, mask(F.col(f"`{text}`"))).select(

@@ -15,7 +15,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from straitline.llm.common import arrow_map, ascii_lower, fresh, row_key, stored
+from straitline.llm.common import arrow_map, ascii_lower, fresh, hold_alone, row_key, stored
 from straitline.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -214,6 +214,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     columns = [f"f{k}" for k in range(words)]
 
     def run(rows, ids, texts):
+        hold_alone("simhash")
         prints = np.stack([fingerprint(t, shingle, words) for t in texts]).view(np.int64)
         keys = [xxhash.xxh3_64_intdigest(b" ".join(ascii_lower(t).split())) - (1 << 63) for t in texts]
         return [rows, ids, keys, *prints.T]

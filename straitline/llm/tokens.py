@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from array import array
 
-from straitline.llm.common import load_tokenizer
+from straitline.llm.common import hold_alone, load_tokenizer
 
 #: Characters with Unicode's White_Space property (fixed values); Python's str.split takes four more, U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -99,6 +99,7 @@ _encoders: dict[tuple, Encoder] = {}
 
 def encoder(path: str, spaces: bool, fold: bool) -> Encoder:
     """The worker's encoder for a vocabulary file."""
+    hold_alone("tokens", forget)
     key = (path, spaces, fold)
     if key not in _encoders:
         _encoders[key] = Encoder(path, spaces, fold)
@@ -108,3 +109,4 @@ def encoder(path: str, spaces: bool, fold: bool) -> Encoder:
 def forget() -> None:
     """Let go of what the worker's encoders remember, for work of another kind."""
     _encoders.clear()
+    load_tokenizer.cache_clear()
