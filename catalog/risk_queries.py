@@ -86,15 +86,16 @@ def decayed_articles(spark, sf):
 
 _NORMAL = {"sum_sat": 25.0, "log_sat": 2.0, "share": 25.0, "share_scanned": 0.05}
 _CAND = " UNION ALL ".join(
-    f"SELECT '{c}' AS candidate, corridor, {c} AS raw, {saturating_sql(c, 'baseline', _NORMAL[c]) if c in _NORMAL else score_sql(c, 'baseline')} AS score FROM st JOIN base USING (corridor)"
+    f"SELECT '{c}' AS candidate, corridor, {c} AS raw, {saturating_sql(c, 'baseline', _NORMAL[c]) if c in _NORMAL else score_sql(c, 'baseline')} AS score, stories, baseline FROM st JOIN base USING (corridor)"
     for c in S.CANDIDATES)
 
 
 @query("candidate_scores", STATS + f""", cs AS ({_CAND}), g AS (SELECT candidate, (list_reverse_sort(list(score)))[1] - (list_reverse_sort(list(score)))[2] AS gap FROM cs GROUP BY candidate)
-SELECT candidate, corridor, round(raw, 6) AS raw, round(score, 6) AS score, round(gap, 6) AS gap FROM cs JOIN g USING (candidate)""")
+SELECT candidate, corridor, stories, round(raw, 6) AS raw, round(score, 6) AS score, round(gap, 6) AS gap,
+  stories > 0 OR abs(score - baseline) <= 1e-9 AS baseline_ok FROM cs JOIN g USING (candidate)""")
 def candidate_scores(spark, sf):
     out = S.candidate_scores(_statistics(spark, sf), risk_corridors(spark, sf))
-    return out.select("candidate", "corridor", r6("raw").alias("raw"), r6("score").alias("score"), r6("gap").alias("gap"))
+    return out.select("candidate", "corridor", "stories", r6("raw").alias("raw"), r6("score").alias("score"), r6("gap").alias("gap"), "baseline_ok")
 
 
 # --- stories over documents -------------------------------------------------------------
