@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash with deletion-variant signatures.
+"""Near duplicates: by SimHash with deletion-variant signatures, and exactly by Jaccard similarity with prefix filtering.
 
 A fingerprint is cut into segments, fewer than the bits in which two fingerprints may differ would need for an unchanged
 segment: it is enough that one segment differs by at most one bit. Each segment is indexed once for each of its bits with
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 from straitline.llm.common import arrow_map, ascii_lower, fresh, hold_alone, row_key, stored
 from straitline.llm.components import components
@@ -39,30 +39,15 @@ def shingle_hashes(text: str | None, size: int, seed: int = SEED) -> Iterator[np
         yield np.fromiter((xxhash.xxh64_intdigest(line[x:y], seed) for x, y in zip(a[k:k + CHUNK], b[k:k + CHUNK])), np.uint64, len(a[k:k + CHUNK]))
 
 
-def fingerprint(text: str | None, size: int, words: int = 1) -> np.ndarray:
-    """``words`` times 64 bits, each 1 if set in over half the shingles' hashes; zeros without words."""
-    total, n = np.zeros(64 * words, np.int64), 0
+def fingerprint(text: str | None, size: int) -> np.ndarray:
+    """64 bits, each 1 if set in over half the shingles' hashes; zeros without words."""
+    total, n = np.zeros(64, np.int64), 0
     for h in shingle_hashes(text, size):
         n += h.size
-        for k in range(words):
-            total[64 * k:64 * k + 64] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * total > n, bitorder="little").view(np.uint64)
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th independent hash made of the first; the first itself for k = 0."""
-    if k:
-        h = h + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h = h ^ (h >> np.uint64(31))
-    return h
-
-
-def hamming(a: list[str], b: list[str]) -> Column:
-    return functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)))
-
-
 # --- the index ------------------------------------------------------------------
 
 def segments(columns: list[str], count: int, width: int) -> list[Column]:
@@ -135,100 +120,147 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 #: Words a shingle, and the share of shared shingles (Jaccard) from which texts are near duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Segments of the longer fingerprint that finds candidates.
-SEGMENTS = 8
-#: Neighbours before a row, in the order of a bucket, that it is compared with.
-REACH = 4
+#: Counters of the frequency sketch, one text in how many it reads, and the rounds that contract groups before all other pairs are met.
+SLOTS, SAMPLED, ROUNDS = 1 << 20, 8, 2
 
 
-def segment_width(texts: int) -> int:
-    """Bits of a segment: with the logarithm of the number of texts, so that unrelated texts seldom share a bucket."""
-    return max(16, math.ceil(math.log2(max(2, texts))) - 2)
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct 64-bit shingle hashes of a text, ascending."""
+    every = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64)
 
 
-def expected_distance(similarity: float) -> float:
-    """Share of bits in which the fingerprints of two texts of a Jaccard similarity differ in the mean."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def _needed(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` has in common with any similar set, at least."""
+    return math.ceil(similarity * n - 1e-9)
 
 
-def similar_candidates(prints: DataFrame, columns: list[str], width: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs ``a, b`` of keys whose fingerprints are as close as those of texts of ``similarity`` (three deviations of slack).
+def frequent_slots(texts: DataFrame, shingle: int) -> np.ndarray:
+    """A count for each slot of hashes that stands out in a sample of the texts, 0 for all others.
 
-    Within a bucket rows are ordered by the rest of their fingerprint, beginning after the bucket's own segment, and each is
-    compared with the ``REACH`` rows before it and linked to the nearest similar one: a dense group is linked along that order, never pair by pair, and each
-    segment orders it anew.
+    It only shapes the order of shingles. Any order common to all texts gives the same links.
     """
-    bits = SEGMENTS * width
-    p = expected_distance(similarity)
-    most = math.floor(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
-    rows = variants(prints, columns, SEGMENTS, width)
-    parts = F.array(*segments(columns, SEGMENTS, width))
-    following = F.element_at(parts, ((F.floor(F.col("part") / width) + 1) % SEGMENTS + 1).cast("int"))
-    rows = rows.select("part", "value", "key", *columns, following.alias("next"))
-    order = W.partitionBy("part", "value").orderBy("next", *columns, "key")
-    found = []
-    for back in range(1, REACH + 1):
-        rows = rows.withColumn(f"before{back}", F.lag(F.struct("key", *columns), back).over(order))
-        other = [f"before{back}.{c}" for c in columns]
-        found.append(F.when(hamming(columns, other) <= most, F.col(f"before{back}.key")))
-    # A link to the nearest similar row before it holds a row to its group; more would grow with the group's size.
-    return rows.select("key", F.coalesce(*found).alias("other")).filter("other is not null").select(
-        F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).filter("a <> b").distinct()
-
-
-def _shingle_set(text: str | None, size: int) -> bytes:
-    every = [h.astype(np.uint32) for h in shingle_hashes(text, size)]
-    return np.unique(np.concatenate(every)).tobytes() if every else b""
+    def run(keys, ts):
+        n = np.bincount(np.concatenate([shingle_set(t, shingle) for t in ts]).astype(np.int64) & SLOTS - 1, minlength=SLOTS)
+        slots = np.flatnonzero(n)
+        return [slots, n[slots]]
+
+    sample = texts.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0).select("key", "text")
+    counts = stored(arrow_map(sample, run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")), "frequent")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / SLOTS
+    out = np.zeros(SLOTS, np.int32)
+    for r in counts.filter(F.col("n") >= 8 + 4 * mean).toLocalIterator():
+        out[r.slot] = r.n
+    return out
+
+
+def prefixes(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``token, key, size``: of each text the shingles that come first in a common order, rare ones before frequent ones.
+
+    Two sets with the asked Jaccard similarity share one of these at least (prefix filter): none is missed.
+    """
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_slots(texts, shingle))
+
+    def run(keys, ts):
+        hold_alone("simhash")
+        tokens, counts, sizes = [np.empty(0, np.uint64)], [], []
+        for t in ts:
+            every = shingle_set(t, shingle)
+            order = np.argsort(frequent.value[every.astype(np.int64) & SLOTS - 1], kind="stable")
+            tokens.append(every[order[:every.size - _needed(every.size, similarity) + 1]])
+            counts.append(tokens[-1].size)
+            sizes.append(every.size)
+        return [np.concatenate(tokens).view(np.int64), np.repeat(np.array(keys, np.int64), counts), np.repeat(np.array(sizes, np.int64), counts)]
+
+    return arrow_map(texts.select("key", "text"), run, "token long, key long, size long")
 
 
 def _jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = np.intersect1d(x, y, assume_unique=True).size
     return both / max(1, x.size + y.size - both)
 
 
 def similar_links(texts: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the candidate ``pairs`` whose texts really share ``similarity`` of their shingles; ``texts``: ``key, text``, keys repeat."""
+    """Those of the candidate ``pairs`` whose texts really share ``similarity`` of their shingles; ``texts``: ``key, text``."""
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    one = texts.join(ends, "key", "left_semi")
-    sets = stored(arrow_map(one, lambda ks, ts: [ks, [_shingle_set(t, shingle) for t in ts]], "key long, shingles binary")
-                  .groupBy("key").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    one = texts.join(ends, "key", "left_semi").select("key", "text")
+    sets = stored(arrow_map(one, lambda ks, ts: [ks, [shingle_set(t, shingle).tobytes() for t in ts]], "key long, shingles binary"), "shingle-sets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a") \
         .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     checked = arrow_map(both.select("a", "b", "x", "y"), lambda a, b, x, y: [a, b, [_jaccard(p, q) for p, q in zip(x, y)]], "a long, b long, likeness double")
     return checked.filter(F.col("likeness") >= similarity).select("a", "b")
 
 
+def similar_groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``node, component`` of the texts (``key, text``, distinct keys) linked by Jaccard ``similarity``: exactly its components.
+
+    Texts that share a prefix shingle meet. First, in rounds of linear size, each is held against one text of its bucket,
+    and what links is contracted. Then all pairs of a bucket that are still in different groups are met, without a cap: those
+    with too few prefix shingles in common cannot be similar, all others are verified.
+    """
+    every = stored(prefixes(texts, shingle, similarity), "prefixes")
+    shared = stored(every.join(every.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "token"), "shared-shingles")
+    session = texts.sparkSession
+    tested = session.createDataFrame([], "a long, b long")
+    links, groups = tested, session.createDataFrame([], "node long, component long")
+    alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9  # noqa: E731  sizes of similar sets
+
+    def state() -> DataFrame:
+        """The prefix rows with their groups so far, in buckets of several groups only."""
+        rows = shared.join(groups, F.col("key") == F.col("node"), "left").select("token", "key", "size", F.coalesce("component", "key").alias("label"))
+        mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+        return stored(rows.join(mixed, "token"), "open-buckets")
+
+    def verified(pairs: DataFrame) -> None:
+        nonlocal tested, links, groups
+        fresh_pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested = tested.unionByName(fresh_pairs)
+        links = links.unionByName(stored(similar_links(texts, fresh_pairs, shingle, similarity), "links"))
+        groups = stored(components(links, "a", "b"), "groups")
+
+    for k in range(ROUNDS):
+        rows = state()
+        one = rows.groupBy("token").agg(F.min_by(F.struct("key", "size", "label"), F.xxhash64("key", F.lit(k))).alias("one"))
+        met = rows.join(one, "token").filter((F.col("label") != F.col("one.label")) & alike(F.col("size"), F.col("one.size")))
+        verified(met.select(F.least("key", "one.key").alias("a"), F.greatest("key", "one.key").alias("b")).distinct())
+
+    rows = state()
+    # Rows of a bucket's largest group are not held against each other.
+    largest = rows.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    rows = stored(rows.join(largest, "token").select("token", "key", "size", "label", (F.col("label") == F.col("largest")).alias("inside")), "open-rows")
+    x = rows.filter("not inside").select("token", *(F.col(c).alias(f"x_{c}") for c in ("key", "size", "label")))
+    y = rows.select("token", *(F.col(c).alias(f"y_{c}") for c in ("key", "size", "label", "inside")))
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("x_label") != F.col("y_label")) & (F.col("y_inside") | (F.col("x_key") < F.col("y_key")))
+                 & alike(F.col("x_size"), F.col("y_size")))
+    common = met.groupBy(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).agg(
+        F.count("*").alias("n"), F.first(F.col("x_size") + F.col("y_size")).alias("sizes"), F.first(F.greatest("x_size", "y_size")).alias("most"))
+    # Beyond the prefixes two sets share less than ``similarity`` of the larger one.
+    enough = F.col("n") + F.ceil(similarity * F.col("most") - 1e-9) - 1 >= similarity / (1 + similarity) * F.col("sizes") - 1e-9
+    verified(common.filter(enough).select("a", "b"))
+    return groups
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document left of each group of copies and near copies: the one with the smallest id.
 
-    Texts are compared as lower-cased words. Equal ones are one node; near ones, found by deletion variants of a longer
-    fingerprint, link if their shingle sets have the asked Jaccard similarity, and groups are connected components. Texts
-    without words (null, empty, blank) are copies of each other. Null ids come last; of repeated rows one stays. All
-    columns pass through, whatever their names.
+    Texts are compared as lower-cased words. Equal ones are one node; others link if their shingle sets have the asked
+    Jaccard similarity, of which no pair is missed, and groups are connected components. Texts without words (null, empty,
+    blank) are copies of each other. Null ids come last; of repeated rows one stays. All columns pass through, whatever
+    their names.
     """
     row = fresh("row", docs)
-    n = docs.count()
-    width = segment_width(n)
-    words = math.ceil(SEGMENTS * width / 64)
-    columns = [f"f{k}" for k in range(words)]
 
     def run(rows, ids, texts):
-        hold_alone("simhash")
-        prints = np.stack([fingerprint(t, shingle, words) for t in texts]).view(np.int64)
-        keys = [xxhash.xxh3_64_intdigest(b" ".join(ascii_lower(t).split())) - (1 << 63) for t in texts]
-        return [rows, ids, keys, *prints.T]
+        return [rows, ids, [xxhash.xxh3_64_intdigest(b" ".join(ascii_lower(t).split())) - (1 << 63) for t in texts]]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = stored(arrow_map(docs.select(row_key(docs).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`")), run,
-                              f"row long, id {kind}, key long, {', '.join(f'{c} long' for c in columns)}"), "fingerprints")
-    nodes = prints.groupBy("key").agg(*(F.first(c).alias(c) for c in columns), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row"))
-    nodes = stored(nodes, "distinct-texts")
-    pairs = stored(similar_candidates(nodes.drop("row"), columns, width, similarity), "candidates")
-    texts = docs.withColumn(row, row_key(docs)).join(nodes.select(F.col("row").alias(row), F.col("key").alias(fresh("key", docs))), row) \
-        .select(F.col(fresh("key", docs)).alias("key"), F.col(f"`{text}`").alias("text"))
-    linked = components(similar_links(texts, pairs, shingle, similarity), "a", "b")
-    classes = prints.select("row", "id", "key").join(linked, F.col("key") == F.col("node"), "left")
+    keyed = stored(arrow_map(docs.select(row_key(docs).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`")), run,
+                             f"row long, id {kind}, key long"), "text-keys")
+    nodes = stored(keyed.groupBy("key").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row")), "distinct-texts")
+    texts = docs.select(row_key(docs).alias("row"), F.col(f"`{text}`").alias("text")).join(nodes, "row").dropDuplicates(["key"]).select("key", "text")
+    linked = similar_groups(stored(texts, "texts"), shingle, similarity)
+    classes = keyed.join(linked, F.col("key") == F.col("node"), "left")
     stay = classes.groupBy(F.coalesce("component", "key").alias("component")).agg(
         F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias(row)).select(row)
     return docs.withColumn(row, row_key(docs)).join(stay, row, "left_semi").dropDuplicates([row]).select(*(f"`{c}`" for c in docs.columns))

@@ -229,6 +229,42 @@ def test_one_of_each_group_stays(spark):
     assert simhash.drop_near_duplicates(docs.filter("false")).count() == 0
 
 
+def look_alikes():
+    """Texts of one template, an own fifth to a third each, and variants of some: near copies, and pairs just below."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    template = [word() for _ in range(150)]
+    rows = []
+    for k in range(120):
+        own = template[:] + [word() for _ in range(int(rng.integers(25, 60)))]
+        rows.append((10 * k, " ".join(own)))
+        for c in range(1, 3):
+            edited = list(own)
+            for at in rng.choice(len(own), int(rng.integers(1, 5)), replace=False):
+                edited[at] = word()
+            rows.append((10 * k + c, " ".join(edited)))
+    return rows
+
+
+def test_no_link_between_look_alikes_is_missed(spark):
+    rows = look_alikes()
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    least = list(range(len(rows)))
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) / len(x | y) >= 0.8:
+                least[max(root(i), root(j))] = min(root(i), root(j))
+    want = sorted(rows[i][0] for i in range(len(rows)) if root(i) == i)
+    assert 100 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()) == want
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
