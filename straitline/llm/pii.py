@@ -78,11 +78,15 @@ UNSEEN = "­​‌‍⁠﻿"
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 #: Words that stand for "@" and ".": in brackets anywhere between word characters, bare ones only between plain words.
-BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I)
+IN_BRACKETS = r"[\[({<]\s*(at|dot)\s*[\])}>]"
+BRACKETED, SIGN_IN_BRACKETS = re.compile(rf"\s*{IN_BRACKETS}\s*", re.I), re.compile(IN_BRACKETS, re.I)
 BARE_ADDRESS = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s(?:dot)\s[A-Za-z0-9_%+-]+)*(\s(?:at)\s)[A-Za-z0-9-]+((?:\s(?:dot)\s[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
 BARE = re.compile(r"\s(at|dot)\s", re.I)
-SPELLED = re.compile(r"\b(?:plus|zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\s.-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]+)){6,}\b", re.I)
+_DIGIT = "|".join(DIGITS)
+SPELLED = re.compile(rf"\b(?:plus|{_DIGIT})(?:[\s.-]+(?:{_DIGIT}|[0-9]+))*\b", re.I)
+#: Figures before a spelled run, from their end backwards.
+FIGURES_BEFORE = re.compile(r"(?:[\s.-]+[0-9]+(?![^\W_]))+")
 SPELLED_WORD = re.compile(r"[A-Za-z]+|[0-9]+")
 
 
@@ -107,21 +111,27 @@ class Mapped:
         return Mapped("".join(text), spans)
 
 
+def plain_character(c: str) -> str:
+    """What a character reads as: ASCII for look-alikes and compatibility forms, nothing for those without width, else itself."""
+    if c in UNSEEN:
+        return ""
+    if ord(c) < 128:
+        return c
+    new = c.translate(LOOK_ALIKES)
+    if new == c and unicodedata.decomposition(c).startswith("<"):
+        new = unicodedata.normalize("NFKC", c)
+    if new == c and (digit := unicodedata.digit(c, None)) is not None:
+        new = str(digit)
+    return new if new.isascii() else c
+
+
 def plain_characters(text: str) -> Mapped:
-    """Look-alikes and compatibility forms as ASCII, characters without width gone; all else as it is."""
+    """A text with each character as it reads."""
     out, spans = [], []
     for i, c in enumerate(text):
-        if c in UNSEEN:
-            continue
-        if ord(c) > 127:
-            new = c.translate(LOOK_ALIKES)
-            if new == c and unicodedata.decomposition(c).startswith("<"):
-                new = unicodedata.normalize("NFKC", c)
-            if new == c and (digit := unicodedata.digit(c, None)) is not None:
-                new = str(digit)
-            c = new if new.isascii() else c
-        out.append(c)
-        spans += [(i, i + 1)] * len(c)
+        new = plain_character(c) if ord(c) > 127 else c
+        out.append(new)
+        spans += [(i, i + 1)] * len(new)
     return Mapped("".join(out), spans)
 
 
@@ -152,44 +162,94 @@ class _moved:
         return self.b
 
 
-def digits(m: Mapped) -> Mapped:
-    """Runs of seven spelled digits or more, in words or mixed with figures, as figures; a leading "plus" as its sign."""
+def spelled_runs(text: str) -> list[tuple[int, int, int, int]]:
+    """Spelled digits with the figures around them: start of the figures, first and end of the spelled words, end of the figures."""
+    out, free = [], 0
+    for x in SPELLED.finditer(text):
+        words = [w for w in SPELLED_WORD.finditer(text, x.start(), x.end()) if w[0].isalpha()]
+        a = x.start()
+        if text[a:a + 4].lower() != "plus":  # walk back over figures, each after a gap
+            low = a
+            while low > free and (text[low - 1] in ".-" or text[low - 1].isspace() or "0" <= text[low - 1] <= "9"):
+                low -= 1
+            if m := FIGURES_BEFORE.match(text[low:a][::-1]) if low == 0 or not _wordlike(text[low - 1]) else FIGURES_BEFORE.match(_after_gap(text[low:a])[::-1]):
+                a -= m.end()
+        out.append((a, words[0].start(), words[-1].end(), x.end()))
+        free = x.end()
+    return out
+
+
+def _wordlike(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _after_gap(part: str) -> str:
+    """``part`` without the figures at its start, which belong to a word before it."""
+    return part.lstrip("0123456789")
+
+
+def digits(m: Mapped, left: bool, right: bool, dots: bool = False, apart: bool = False) -> Mapped:
+    """Spelled digits as figures, a leading "plus" as its sign, and what stands in a run joined.
+
+    ``left`` and ``right`` say whether figures before and after the spelled words join them; those that do not stay where
+    they are, or ``apart`` on a line of their own. With ``dots``, single dots stay.
+    """
     edits = []
-    for x in SPELLED.finditer(m.text):
-        last = None
-        for w in SPELLED_WORD.finditer(m.text, x.start(), x.end()):
-            if last is not None:
-                edits.append((last, w.start(), ""))
+    for a, first, last, b in spelled_runs(m.text):
+        if apart and not left and a < first:
+            edits.append((len(m.text[:first].rstrip(" \t\n\r.-")), first, "\n"))
+        if apart and not right and last < b:
+            edits.append((last, b - len(m.text[last:b].lstrip(" \t\n\r.-")), "\n"))
+        end = None
+        for w in SPELLED_WORD.finditer(m.text, a if left else first, b if right else last):
+            if end is not None and not (dots and m.text[end:w.start()] == "."):
+                edits.append((end, w.start(), ""))
             word = w[0].lower()
             edits.append((w.start(), w.end(), "+" if word == "plus" else DIGITS.get(word, w[0])))
-            last = w.end()
+            end = w.end()
     return m.rewrite([e for e in edits if e[0] < e[1]])
 
 
-#: What a disguise needs: characters beyond those of European texts, a sign in words, or spelled digits.
-ODD = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[\xad\xb2\xb3\xb9]")
-SIGN_WORDS = ("dot", *(f"at{gap}{b}" for gap in ("", " ") for b in "])}>"))
+@functools.lru_cache(maxsize=1)
+def odd() -> re.Pattern:
+    """A character that reads as something else, or any beyond 16 bits: few texts have these, and a class without them is quick."""
+    changed = [c for c in map(chr, range(128, 1 << 16)) if plain_character(c) != c]
+    return re.compile(f"[{''.join(map(re.escape, changed))}]|[\U00010000-\U0010ffff]")
 
 
 def disguised(text: str) -> bool:
-    """Whether a text may differ from its normal form; cheap tests first, since few texts do."""
+    """Whether a text may differ from its normal form: whether any transducer finds something to rewrite."""
     low = text.lower()
-    return any(w in low for w in SIGN_WORDS) or not text.isascii() and bool(ODD.search(text)) \
-        or any(w in low for w in DIGITS) and bool(SPELLED.search(low))
-
-
-def disguised_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the normal form shows, none of which overlaps a base span."""
-    if not disguised(text):
-        return []
-    m = functools.reduce(lambda x, f: f(x), (signs, digits), plain_characters(text))
-    if m.text == text:
+    return "dot" in low or not text.isascii() and bool(odd().search(text)) or bool(SIGN_IN_BRACKETS.search(text)) \
+        or ("plus" in low or any(w in low for w in DIGITS)) and bool(SPELLED.search(text))
+
+
+def normal_forms(text: str) -> list[Mapped]:
+    """The forms in which a text can be read: figures beside spelled digits belong to them or not, and so do dots."""
+    plain = signs(plain_characters(text))
+    forms = {}
+    if any(w in plain.text.lower() for w in ("plus", *DIGITS)):
+        for how in ((False, True), (True, True), (False, False), (True, False), (True, True, True),
+                    (False, True, False, True), (False, False, False, True), (True, False, False, True)):
+            m = digits(plain, *how)
+            forms.setdefault(m.text, m)
+    forms.setdefault(plain.text, plain)
+    return [m for t, m in forms.items() if t != text]
+
+
+def disguised_spans(text: str, base: list[Span], gate: bool = True) -> list[Span]:
+    """Spans that only a normal form shows, none of which overlaps a base span or one of a form before."""
+    if gate and not disguised(text):
         return []
-    taken, out = sorted((a, b) for _, a, b in base), []
-    for kind, a, b in detect(m.text):
-        start, end = m.spans[a][0], m.spans[b - 1][1]
-        if text[start:end] != m.text[a:b] and all(end <= x or y <= start for x, y in taken):
-            out.append((kind, start, end))
+    taken, out = [(a, b) for _, a, b in base], []
+    for m in normal_forms(text):
+        own = []
+        for kind, a, b in detect(m.text):
+            start, end = m.spans[a][0], m.spans[b - 1][1]
+            if text[start:end] != m.text[a:b] and all(end <= x or y <= start for x, y in taken):
+                own.append((kind, start, end))
+        taken += [(a, b) for _, a, b in own]
+        out += own
     return out
 
 

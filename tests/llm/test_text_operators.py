@@ -153,6 +153,25 @@ def test_disguises_map_back(text, span):
     assert span not in pii.masked(text)
 
 
+@pytest.mark.parametrize(("text", "span"), [
+    ("card 4111\u00a01111\u00a01111\u00a01111 ok", "4111\u00a01111\u00a01111\u00a01111"), ("to john@mail\u2024com, or", "john@mail\u2024com"),
+    ("john@m\u00aail.com is", "john@m\u00aail.com"), ("to john[at ]mail.com, or", "john[at ]mail.com"), ("to john(at\t)mail.com, or", "john(at\t)mail.com"),
+    ("card 4111 1111 1111 one one one one ok", "4111 1111 1111 one one one one"), ("card four 111 1111 1111 1111 ok", "four 111 1111 1111 1111"),
+    ("card 4111 1111 one one 11 1111 ok", "4111 1111 one one 11 1111"), ("room 12 four one one one 1111 1111 1111 ok", "four one one one 1111 1111 1111"),
+    ("call plus 1 555 123 4567.", "plus 1 555 123 4567"), ("host 192.168.one.seven is", "192.168.one.seven")])
+def test_disguises_without_other_odd_characters(text, span):
+    base, every = pii.find(text)
+    assert [text[a:b] for _, a, b in every] == [span]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["john", "@", " at ", "[at ]", "(dot\t)", ".", "com", "\u00a0", "\u2024", "\u017f", "\u00aa", " ", "one", "seven", "plus", "4111", "1111", "11", "-", "+", "é"]), max_size=14))
+def test_gate_lets_all_disguises_through(parts):
+    text = "".join(parts)
+    base = pii.detect(text)
+    assert pii.disguised_spans(text, base) == pii.disguised_spans(text, base, gate=False)
+
+
 def test_clean_texts_stay():
     for text in ("Meet at noon, dot the i.", "one two three", "Version 1.2.3 of 2024-01-02", "Дом и сад", "x² + y²", "", "naïve café"):
         assert pii.find(text) == ([], []) and pii.masked(text) == text
