@@ -1,8 +1,9 @@
 """Seeded merge-dropout: varied merge-type segmentations under a public vocabulary, and their lossless decoding.
 
 Merges are taken from an agenda, best score first. A candidate is skipped when a keyed hash says so: the key is the seed, the
-variant of the occurrence, the stretch and the candidate's place. An occurrence's variant is a keyed hash of its document
-and place, so that a stretch repeats with several segmentations, each worked out once by a worker.
+document, the place of the occurrence, and the candidate's place and rank. Each occurrence is segmented by its own key; what is
+remembered of a stretch is its segmentation without dropout and the candidates taken for it, which holds for all occurrences
+that skip none of these.
 """
 
 from __future__ import annotations
@@ -22,9 +23,7 @@ from straitline.llm.common import arrow_map, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 42
-#: Segmentations that a stretch may have.
-VARIANTS = 2
-#: Stretches that a worker remembers at a time for a variant, besides as many that it remembered before.
+#: Stretches that a worker remembers at a time, besides as many that it remembered before.
 REMEMBERED = 150_000
 #: Characters up to which the agenda is a list, which is quicker for words; longer stretches have a heap.
 SHORT = 48
@@ -63,10 +62,13 @@ def _dropped(key: int, place: int, rank: int, limit: int) -> bool:
     return ((x ^ x >> 31) * 0x94D049BB133111EB & MASK) >> 40 < limit
 
 
-def merged(stretch: str, ranks: dict[str, int], key: int, limit: int) -> list[str]:
-    """Pieces of a stretch: the agenda's merges, best rank first, then from the left, without those that are skipped."""
+def merged(stretch: str, ranks: dict[str, int], key: int, limit: int, taken: list[int] | None = None) -> list[str]:
+    """Pieces of a stretch: the agenda's merges, best rank first, then from the left, without those that are skipped.
+
+    ``taken`` gets place and rank of each merge.
+    """
     if len(stretch) > SHORT:
-        return _merged_long(stretch, ranks, key, limit)
+        return _merged_long(stretch, ranks, key, limit, taken)
     symbols, get = list(stretch), ranks.get
     agenda = [get(stretch[a:a + 2], NEVER) for a in range(len(stretch) - 1)]
     while agenda:
@@ -79,6 +81,8 @@ def merged(stretch: str, ranks: dict[str, int], key: int, limit: int) -> list[st
             if ((x ^ x >> 31) * 0x94D049BB133111EB & MASK) >> 40 < limit:  # _dropped, written out: this is the hot loop
                 agenda[a] = NEVER
                 continue
+        if taken is not None:
+            taken += (a, rank)
         symbols[a:a + 2] = [symbols[a] + symbols[a + 1]]
         del agenda[a]
         if a:
@@ -88,7 +92,7 @@ def merged(stretch: str, ranks: dict[str, int], key: int, limit: int) -> list[st
     return symbols
 
 
-def _merged_long(stretch: str, ranks: dict[str, int], key: int, limit: int) -> list[str]:
+def _merged_long(stretch: str, ranks: dict[str, int], key: int, limit: int, taken: list[int] | None = None) -> list[str]:
     symbols, n = list(stretch), len(stretch)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
     agenda: list[tuple[int, int, int, str]] = []
@@ -106,6 +110,8 @@ def _merged_long(stretch: str, ranks: dict[str, int], key: int, limit: int) -> l
             continue  # one of its sides has been merged since
         if limit and _dropped(key, a, rank, limit):
             continue
+        if taken is not None:
+            taken += (a, rank)
         symbols[a], symbols[b], after[a] = pair, "", after[b]
         if after[a] >= 0:
             before[after[a]] = a
@@ -118,11 +124,12 @@ def _merged_long(stretch: str, ranks: dict[str, int], key: int, limit: int) -> l
 class Segmenter:
     """Segmentations of whole texts under a seed; remembers those of the stretches it has met."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
+    def __init__(self, path: str, dropout: float, seed: int):
         self.ids, self.ranks, self.single, self.raw = vocabulary(path)
-        self.limit, self.seed, self.variants = int(dropout * (1 << 24)), seed & MASK, variants if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.before: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.limit, self.seed = int(dropout * (1 << 24)), seed & MASK
+        #: Of a stretch its ids without dropout, and places and ranks of the merges taken for them.
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
         self.breaks = not any("\n" in p for p in self.ids)
         # Marks that no piece holds behind a letter: merges never reach across such a place either.
         ends = {p[k] for p in self.ids for k in range(1, len(p)) if p[k - 1].isalpha()}
@@ -133,22 +140,24 @@ class Segmenter:
         i = self.ids.get(piece)
         return [i] if i is not None else [self.single[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def _segment(self, part: str, variant: int) -> bytes:
+    def _segment(self, part: str, key: int, limit: int, taken: list[int] | None = None) -> bytes:
         """Ids of a stretch; one that starts with a line break or a mark stands as it is, any other after a space."""
-        stretch = part if part[0] in "\n▁" else SPACE_MARK + part
+        tail: list[int] = []
         if self.ends and part[-1] in self.ends and part[-2:-1].isalpha():
-            return self._known(part[:-1], variant) + array("I", self._spelled(part[-1])).tobytes()
-        key = xxhash.xxh64_intdigest(stretch.encode("utf-8", "surrogatepass"), self.seed + variant & MASK)
+            part, tail = part[:-1], self._spelled(part[-1])
+        stretch = part if part[0] in "\n▁" else SPACE_MARK + part
         get, out = self.ids.get, []
-        for piece in merged(stretch, self.ranks, key, self.limit):
+        for piece in merged(stretch, self.ranks, key, limit, taken):
             i = get(piece)
             out += [i] if i is not None else self._spelled(piece)
-        return array("I", out).tobytes()
+        return array("I", out + tail).tobytes()
 
-    def _known(self, part: str, variant: int) -> bytes:
-        own = self.known[variant].get(part)
+    def _known(self, part: str) -> tuple[bytes, bytes]:
+        own = self.before.get(part)
         if own is None:
-            own = self.known[variant][part] = self.before[variant].get(part) or self._segment(part, variant)
+            taken: list[int] = []
+            own = self._segment(part, 0, 0, taken), array("Q", taken).tobytes()
+        self.known[part] = own
         return own
 
     def _parts(self, text: str) -> list[str]:
@@ -160,7 +169,7 @@ class Segmenter:
         return STRETCH.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
 
     def encode(self, text: str | None, doc: object) -> np.ndarray:
-        """Piece ids of a text; ``doc`` is part of the key that picks the variant of each occurrence."""
+        """Piece ids of a text; ``doc`` is part of the key of each occurrence."""
         if not text:
             return np.empty(0, np.uint32)
         if SPACE_MARK in text:  # it would read as a space: its bytes instead, between texts of their own
@@ -172,19 +181,23 @@ class Segmenter:
                 out += [mark, self._bare(part)]
             return np.concatenate(out)
         parts = self._parts(text)
-        if self.variants > 1:
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        get = self.known.get
+        found = [get(s) or self._known(s) for s in parts]
+        out = [ids for ids, _ in found]
+        if self.limit:
             own = np.uint64(xxhash.xxh64_intdigest(str(doc).encode(), self.seed))
-            x = own + np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            which = ((x ^ (x >> np.uint64(31))) % np.uint64(self.variants)).tolist()
-        else:
-            which = [0] * len(parts)
-        if len(self.known[0]) > REMEMBERED:
-            self.before, self.known = self.known, [{} for _ in range(self.variants)]
-        out, every = [], self.known
-        for v, s in zip(which, parts):
-            own = every[v].get(s)
-            out.append(self._known(s, v) if own is None else own)
+            keys = own + np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            keys ^= keys >> np.uint64(31)
+            # _dropped for all merges of the text at once; only where one is skipped does the agenda run again.
+            places, ranks = np.frombuffer(b"".join(t for _, t in found), np.uint64).reshape(-1, 2).T
+            at = np.repeat(np.arange(len(parts)), [len(t) // 16 for _, t in found])
+            x = ((keys[at] + places * np.uint64(0x9E3779B97F4A7C15)) ^ (ranks * np.uint64(0xD1B54A32D192ED03))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)
+            for i in np.unique(at[x < np.uint64(self.limit)]).tolist():
+                out[i] = self._segment(parts[i], int(keys[i]), self.limit)
         return np.frombuffer(b"".join(out), "<u4")
 
     def _bare(self, part: str) -> np.ndarray:
@@ -199,15 +212,15 @@ class Segmenter:
 _segmenters: dict[tuple, Segmenter] = {}
 
 
-def segmenter(path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> Segmenter:
-    key = (path, dropout, seed, variants)
+def segmenter(path: str, dropout: float = DROPOUT, seed: int = SEED) -> Segmenter:
+    key = (path, dropout, seed)
     if key not in _segmenters:
-        _segmenters[key] = Segmenter(path, dropout, seed, variants)
+        _segmenters[key] = Segmenter(path, dropout, seed)
     return _segmenters[key]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str = VOCABULARY, dropout: float = DROPOUT,
-           seed: int = SEED, variants: int = VARIANTS, digest: bool = False) -> DataFrame:
+           seed: int = SEED, digest: bool = False) -> DataFrame:
     """One row per document: ``id, n_pieces, ids_crc32, lossless`` and, unless ``digest``, ``ids``.
 
     The same seed and id give the same segmentation on every run; ``dropout`` 0 gives the vocabulary's own. ``lossless`` tells
@@ -218,7 +231,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(names, texts):
-        own = segmenter(path, dropout, seed, variants)
+        own = segmenter(path, dropout, seed)
         columns: list[list] = [[], [], [], [], []]
         for name, t in zip(names, texts):
             ids = own.encode(t, name)

@@ -112,6 +112,23 @@ def test_merge_dropout_without_dropout_is_the_vocabularys_own(spark):
     assert merge_dropout.encode(documents(spark).filter("false")).count() == 0
 
 
+def test_each_occurrence_is_segmented_by_its_own_key():
+    path = tokenizer_path(merge_dropout.VOCABULARY)
+    own = merge_dropout.segmenter(path, 0.1)
+    seen = {tuple(own.encode("understanding", doc).tolist()) for doc in range(300)}
+    assert len(seen) > 10
+    text = ("understanding the international " * 40 + "x" * 60 + " end.").strip()
+    parts = own._parts(text)
+    plain, got = merge_dropout.segmenter(path, 0.0), own.encode(text, 3)
+    assert own.decode(got) == text and got.tolist() != plain.encode(text, 3).tolist()
+    # The shortcut for occurrences without a skip gives what the agenda gives for each.
+    keys, segment = {}, own._segment
+    own._segment = lambda part, key, limit, taken=None: keys.setdefault(len(keys), key) and segment(part, key, limit, taken)
+    own.encode(text, 3)
+    own._segment = segment
+    assert 0 < len(keys) < len(parts) and len(set(keys.values())) == len(keys)
+
+
 # --- vectors ----------------------------------------------------------------------
 
 def vectors(spark, n=700, d=16):
