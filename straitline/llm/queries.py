@@ -1,8 +1,8 @@
 """Registered queries of this subpackage over the driver tables, with their SQL counterparts where SQL can express them.
 
 Without SQL are the queries whose method is no SQL: licences (edits), languages (a learned model), fingerprints (XXH64 and
-components), merge-dropout, packing and token files (tokenizers) and personal data (checksums, transducers). They are tested
-against brute-force versions in tests/llm.
+components), merge-dropout, packing and token files (tokenizers), personal data (checksums, transducers), secrets (a trained
+network) and whitening (eigenvectors). They are tested against brute-force versions in tests/llm.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from straitline.llm import bit_sliced, language_id, license_scan, line_dedup, merge_dropout, packing, pii, rans, simhash, vptree
+from straitline.llm import (
+    bit_sliced, language_id, lexical, license_scan, line_dedup, merge_dropout, packing, pii, rans, secret_scan, simhash, vptree, whitening)
 from straitline.llm.common import arrow_map
 from straitline.session import scratch_folder
 
@@ -111,3 +112,34 @@ def _(spark, sf_dir):
 @_query("op10_personal_data")
 def _(spark, sf_dir):
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_secret_scan")
+def _(spark, sf_dir):
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != secret_scan.LEARNED)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@_query("op12_ranked_search", f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS ts FROM documents),
+  held AS (SELECT row, doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM d WHERE len(ts) > 0),
+  total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM held),
+  tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(ts) AS term FROM held) GROUP BY ALL),
+  w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+  asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+  s AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM asked JOIN w USING (term) JOIN tf USING (term), total GROUP BY ALL),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {lexical.TOP}""")
+def _(spark, sf_dir):
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op13_feast_whitening")
+def _(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
