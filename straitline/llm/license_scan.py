@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -77,6 +79,16 @@ def _compiled(notices: tuple):
     return automaton, [regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}") for notice, _, edits in notices]
 
 
+def _matches(pattern, text: str, a: int, b: int) -> Iterator:
+    """The best match of a stretch, then those of what lies before and behind it."""
+    open_ = [(a, b)]
+    while open_:
+        a, b = open_.pop()
+        if m := pattern.search(text, a, b):
+            yield m
+            open_ += [(a, m.start()), (m.end(), b)]
+
+
 def fuzzy_spans(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, str, float]]:
     """Start, end, label and likeness of each notice found in a normal form, within its edits, best ones first on overlap."""
     automaton, patterns = _compiled(notices)
@@ -96,26 +108,29 @@ def fuzzy_spans(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, str
     for n, spans in windows.items():
         notice, label, _ = notices[n]
         for a, b in spans:
-            for m in patterns[n].finditer(text, a, b):
+            for m in _matches(patterns[n], text, a, b):
                 start, stop = m.span()
                 start += len(m.group()) - len(m.group().lstrip(" "))
                 stop -= len(m.group()) - len(m.group().rstrip(" "))
                 found.append((start, stop, label, 1 - sum(m.fuzzy_counts) / len(notice)))
-    kept: list[tuple[int, int, str, float]] = []
+    kept: dict[str, list[tuple[int, int, str, float]]] = {}
     for x in sorted(set(found), key=lambda x: (-x[3], x[0], -x[1])):
-        if all(x[2] != y[2] or x[1] <= y[0] or y[1] <= x[0] for y in kept):
-            kept.append(x)
-    return sorted(kept)
+        own = kept.setdefault(x[2], [])
+        at = bisect_left(own, x)  # spans kept of a label do not overlap: only the neighbours can
+        if (at == 0 or own[at - 1][1] <= x[0]) and (at == len(own) or x[1] <= own[at][0]):
+            own.insert(at, x)
+    return sorted(x for own in kept.values() for x in own)
 
 
 def scan(text: str | None, notices: tuple = NOTICES) -> tuple:
     """Of one text: words, places of the base phrases, first and last place, base labels, all labels, score, spans."""
     form, at = normal_form(text)
+    gaps = np.flatnonzero(np.frombuffer(form.encode("latin-1"), np.uint8) == 32)  # one before each word
     places, base = [], set()
     for phrase, label in BASE:
         i = form.find(f" {phrase} ")
         while i >= 0:
-            places.append(form.count(" ", 0, i))
+            places.append(int(np.searchsorted(gaps, i)))
             base.add(label)
             i = form.find(f" {phrase} ", i + 1)
     fuzzy = fuzzy_spans(form, notices)
@@ -127,7 +142,7 @@ def scan(text: str | None, notices: tuple = NOTICES) -> tuple:
         for a, b, label, likeness in fuzzy:
             spans.append({"label": label, "start": int(starts[at[a]]), "end": int(starts[min(raw.size, at[b - 1] + 1)]), "likeness": likeness})
     score = 1.0 if base else max((s["likeness"] for s in spans), default=0.0)
-    return (max(0, form.count(" ") - 1), len(places), min(places, default=None), max(places, default=None),
+    return (max(0, len(gaps) - 1), len(places), min(places, default=None), max(places, default=None),
             ",".join(sorted(base)), ",".join(sorted(labels)), float(score), spans)
 
 
