@@ -192,7 +192,7 @@ def _scores(texts: list, model_id: int, model: LanguageModel) -> tuple[list[str]
         _known.update(zip(new, range(len(_known), len(_known) + len(new))))
     langs, scores, place = [], [], _known.__getitem__
     for ws in split:
-        if not ws or not model.languages:
+        if not model.languages or not any(c.isalpha() for w in ws for c in w):  # figures like "½" are no letters
             langs.append(UNDETERMINED)
             scores.append(0.0)
             continue
