@@ -79,9 +79,10 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 
 #: Words that stand for "@" and ".": in brackets anywhere between word characters, bare ones only between plain words.
 IN_BRACKETS = r"[\[({<]\s*(at|dot)\s*[\])}>]"
-BRACKETED, SIGN_IN_BRACKETS = re.compile(rf"\s*{IN_BRACKETS}\s*", re.I), re.compile(IN_BRACKETS, re.I)
-BARE_ADDRESS = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s(?:dot)\s[A-Za-z0-9_%+-]+)*(\s(?:at)\s)[A-Za-z0-9-]+((?:\s(?:dot)\s[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+SIGN_IN_BRACKETS = re.compile(IN_BRACKETS, re.I)
+#: Bare words are looked for from each "at": a host with spelled dots after it, a name with or without them before it.
+BARE_AT, BARE_HOST = re.compile(r"\sat(?=\s)", re.I), re.compile(r"[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.I)
+BARE_DOT_BEFORE = re.compile(r"\sdot\s\Z", re.I)
 BARE = re.compile(r"\s(at|dot)\s", re.I)
 _DIGIT = "|".join(DIGITS)
 SPELLED = re.compile(rf"\b(?:plus|{_DIGIT})(?:[\s.-]+(?:{_DIGIT}|[0-9]+))*\b", re.I)
@@ -135,13 +136,50 @@ def plain_characters(text: str) -> Mapped:
     return Mapped("".join(out), spans)
 
 
+def _bracketed(text: str) -> list[tuple[int, int, str]]:
+    """Signs in brackets with the blanks around them: start, end, word."""
+    out, free = [], 0
+    for x in SIGN_IN_BRACKETS.finditer(text):
+        a, b = x.span()
+        while a > free and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        out.append((a, b, x[1]))
+        free = b
+    return out
+
+
+def _bare_addresses(text: str) -> list[tuple[int, int]]:
+    """Leftmost addresses in bare words ("a dot b at c dot d"), looked for outwards from each "at"."""
+    out, free = [], 0
+    for x in BARE_AT.finditer(text):
+        if x.start() < free or not (host := BARE_HOST.match(text, x.end() + 1)):
+            continue
+        start, end = None, x.start()
+        while True:
+            a = end
+            while a > 0 and text[a - 1] in LOCAL:
+                a -= 1
+            if a == end or a < free:
+                break
+            start = a
+            if "." in text[a:end] or not BARE_DOT_BEFORE.search(text, max(0, a - 5), a):
+                break
+            end = a - 5
+        if start is not None:
+            out.append((start, host.end()))
+            free = host.end()
+    return out
+
+
 def signs(m: Mapped) -> Mapped:
     """Written-out "at" and "dot" as signs."""
     sign = lambda w: "@" if w.lower() == "at" else "."
-    m = m.rewrite([(x.start(), x.end(), sign(x[1])) for x in BRACKETED.finditer(m.text)])
+    m = m.rewrite([(a, b, sign(w)) for a, b, w in _bracketed(m.text)])
     edits = []
-    for x in BARE_ADDRESS.finditer(m.text):
-        edits += [(y.start(), y.end(), sign(y[1])) for y in BARE.finditer(m.text, x.start(), x.end())]
+    for a, b in _bare_addresses(m.text):
+        edits += [(y.start(), y.end(), sign(y[1])) for y in BARE.finditer(m.text, a, b)]
     # "a at b dot c" overlaps in its spaces; a second pass takes what the first could not.
     m = m.rewrite(edits)
     # An address written with a real "@" may still spell its dots.
@@ -241,14 +279,20 @@ def disguised_spans(text: str, base: list[Span], gate: bool = True) -> list[Span
     """Spans that only a normal form shows, none of which overlaps a base span or one of a form before."""
     if gate and not disguised(text):
         return []
-    taken, out = [(a, b) for _, a, b in base], []
+    taken, out = bytearray(len(text)), []
+
+    def take(spans):
+        for _, a, b in spans:
+            taken[a:b] = b"\1" * (b - a)
+
+    take(base)
     for m in normal_forms(text):
         own = []
         for kind, a, b in detect(m.text):
             start, end = m.spans[a][0], m.spans[b - 1][1]
-            if text[start:end] != m.text[a:b] and all(end <= x or y <= start for x, y in taken):
+            if text[start:end] != m.text[a:b] and taken.find(1, start, end) < 0:
                 own.append((kind, start, end))
-        taken += [(a, b) for _, a, b in own]
+        take(own)
         out += own
     return out
 

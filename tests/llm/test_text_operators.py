@@ -182,3 +182,55 @@ def test_personal_data_of_odd_rows(spark):
     assert len(rows) == 5 and {(r.n_email, r.base_sha256, r.spans) for r in rows} == {(0, hashlib.sha256(b"").hexdigest(), "")}
     docs = documents(spark)
     assert sorted(map(str, pii.mask_personal_data(docs).collect())) == sorted(map(str, docs.collect()))
+
+
+# --- long texts that invite quadratic work ------------------------------------------
+
+OLD_BARE_ADDRESS = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s(?:dot)\s[A-Za-z0-9_%+-]+)*(\s(?:at)\s)[A-Za-z0-9-]+((?:\s(?:dot)\s[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b.c", "at", "AT", "dot", "Dot", " ", " ", " ", "\n", "-", "_", ".", "é", "x"]), max_size=24))
+def test_bare_addresses_as_one_pattern_tells_them(parts):
+    for text in ("".join(parts), " ".join(parts)):
+        words = text.lower().split()
+        if any(x in ("at", "dot") and y in ("at", "dot") for x, y in zip(words, words[1:])):
+            continue  # signs that are names too: which is which is a matter of taste
+        assert pii._bare_addresses(text) == [m.span() for m in OLD_BARE_ADDRESS.finditer(text)], text
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["(at)", "[dot]", "( at )", "{DOT", ")", " ", "\t", "a", "(", "at"]), max_size=16))
+def test_signs_in_brackets_as_one_pattern_tells_them(parts):
+    text = "".join(parts)
+    assert [(a, b) for a, b, _ in pii._bracketed(text)] == [m.span() for m in re.finditer(rf"\s*{pii.IN_BRACKETS}\s*", text, re.I)]
+
+
+@pytest.mark.parametrize("part", ["dot" + " " * 199_000, "x dot ", "a at b dot ", "( dot ", "one ", "one -. ", "x@", "+1 (", "(at)  ", "1.", "4 ", "a dot b at c dot d "])
+def test_personal_data_of_long_texts(part):
+    import time
+
+    start = time.perf_counter()
+    pii.find(part * (200_000 // len(part)))
+    assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("part", ["under the mit license ", "licensed under the mit licence ", "released under the mit license ", " ", "x ", "under the mit "])
+def test_licences_of_long_texts(part):
+    import time
+
+    start = time.perf_counter()
+    license_scan.scan(part * (200_000 // len(part)))
+    assert time.perf_counter() - start < 20
+
+
+def test_an_earlier_notice_with_edits_stays():
+    spans = license_scan.scan("licensed under the mit licence licensed under the mit license")[7]
+    assert [(s["start"], s["end"], s["label"]) for s in spans] == [(0, 30, "mit"), (31, 61, "mit")]
+
+
+def test_figures_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("the cat sat", "en"), ("die katze", "de"), ("½ ² ① Ⅳ", None), ("½ a", None)])], DOCS)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    assert got[2] == "und" and got[3] in ("en", "de") and got[0] == "en"
