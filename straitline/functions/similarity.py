@@ -98,6 +98,30 @@ class TitleBlock:
         return matcher.ratio() >= threshold
 
 
+def linked_titles(titles, rows, cols, threshold=K.STORY_SIMILARITY):
+    """Pairs (row, col) that connect the titles similar in either order: a spanning forest of the pairs asked.
+
+    Pairs are bounded in slices, and the exact ratio is only taken between titles that are not connected yet.
+    """
+    block, root, links = TitleBlock(titles), list(range(len(titles))), []
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for start in range(0, len(rows), _PAIRS_AT_ONCE * 16):
+        left, right = rows[start : start + _PAIRS_AT_ONCE * 16], cols[start : start + _PAIRS_AT_ONCE * 16]
+        keep = block.may_match(block.code[left], block.code[right], threshold)
+        for row, col in zip(left[keep].tolist(), right[keep].tolist()):
+            a, b = find(row), find(col)
+            if a != b and (block.similar(block.code[row], block.code[col], threshold) or block.similar(block.code[col], block.code[row], threshold)):
+                root[max(a, b)] = min(a, b)
+                links.append((row, col))
+    return links
+
+
 def _window_pairs(times, first, last):
     """(row, column) pairs with first[row] <= column < last[row]."""
     counts = np.maximum(last - first, 0)

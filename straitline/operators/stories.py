@@ -1,8 +1,9 @@
 """Near-duplicate headlines to stories.
 
 An event joins the earliest story of its corridor whose first headline resembles its own and
-is at most three days older; otherwise it founds a story. The rule is order dependent, so it
-is resolved in rounds. Each round takes the next ``batch`` undecided events of every corridor
+is at most three days older; otherwise it founds a story. The rule is order dependent. A key with
+many events is first split into components of similar titles, which no story crosses (see
+``title_groups``); the rule is then resolved in rounds. Each round takes the next ``batch`` undecided events of every key
 (a bounded group), settles them among themselves, and matches the founders found against the
 later undecided events inside the window. The later events are split into bounded chunks, so
 a corridor that holds a third of all rows is spread over many tasks and no pair is ever
@@ -23,6 +24,7 @@ from straitline import constants as K
 from straitline.functions.scoring import event_weight
 from straitline.functions.similarity import WINDOW_MICROS, first_leaders, resolve_batch
 from straitline.functions.text import normalize_title
+from straitline.operators.title_groups import split_keys
 from straitline.session import checkpointed
 
 BATCH = 2000  # events settled per corridor and round, and founders a chunk meets
@@ -103,15 +105,9 @@ def match_stored_leaders(rows: DataFrame, leaders: DataFrame) -> DataFrame:
     return rows.select(columns).join(best, ["story_key", "event_id"], "left")
 
 
-def assign_stories(events: DataFrame, keys: tuple = ("corridor",), batch: int = BATCH) -> DataFrame:
-    """(story_key, event_id, story_id) of every event; story_id is the founding event's id.
-
-    ``events`` needs the key columns, event_id (unique within a key), ts and title.
-    """
-    titled = checkpointed(_titled(events, keys))
-    parts = [titled.filter("norm = ''").select("story_key", "event_id", F.col("event_id").alias("story_id"))]
-    pending = titled.filter("norm <> ''")
-    order = W.partitionBy("story_key").orderBy("at", "event_id")
+def _settled_in_rounds(pending: DataFrame, batch: int) -> list[DataFrame]:
+    """(story_key, event_id, story_id) of all events, a table a round: as many rounds as the largest key has batches."""
+    parts, order = [], W.partitionBy("story_key").orderBy("at", "event_id")
     while not pending.isEmpty():
         head = pending.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= batch).drop("place")
         settled = checkpointed(_spread(head, "story_key").groupBy("story_key").applyInPandas(_settle, _SETTLED))
@@ -131,7 +127,32 @@ def assign_stories(events: DataFrame, keys: tuple = ("corridor",), batch: int =
         parts.append(matched.filter("story_id is not null").select("story_key", "event_id", "story_id"))
         pending = checkpointed(
             rest.filter("not near").select(columns).unionByName(matched.filter("story_id is null").select(columns)))
-    return reduce(DataFrame.unionByName, parts)
+    return parts
+
+
+def assign_stories(events: DataFrame, keys: tuple = ("corridor",), batch: int = BATCH) -> DataFrame:
+    """(story_key, event_id, story_id) of every event; story_id is the founding event's id.
+
+    ``events`` needs the key columns, event_id (unique within a key), ts and title. A key of more events than a batch is split
+    into the components of its similar titles first, which are settled side by side: rounds follow the largest component.
+    A component of one event founds its story without being looked at.
+    """
+    titled = checkpointed(_titled(events, keys))
+    founds = lambda df: df.select("story_key", "event_id", F.col("event_id").alias("story_id"))
+    pending = titled.filter("norm <> ''")
+    big = pending.groupBy("story_key").agg(F.count("*").alias("n")).filter(F.col("n") > batch)
+    parts = [founds(titled.filter("norm = ''"))]
+    if not big.isEmpty():
+        columns = ["story_key", "event_id", "at", "norm"]
+        split = split_keys(pending.join(big.select("story_key"), "story_key", "left_semi"))
+        sizes = split.groupBy("story_key", "part").agg(F.count("*").alias("n"))
+        sized = checkpointed(split.join(sizes, ["story_key", "part"]))
+        parts.append(founds(sized.filter("n = 1")))
+        key = F.concat_ws("#", "part", "story_key").alias("story_key")
+        for done in _settled_in_rounds(sized.filter("n > 1").select(key, *columns[1:]), batch):
+            parts.append(done.withColumn("story_key", F.regexp_replace("story_key", "^-?[0-9]+#", "")))
+        pending = pending.join(big.select("story_key"), "story_key", "left_anti")
+    return reduce(DataFrame.unionByName, parts + _settled_in_rounds(pending, batch))
 
 
 def cluster_stories(events: DataFrame, keys: tuple = ("corridor",), batch: int = BATCH) -> DataFrame:

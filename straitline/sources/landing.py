@@ -135,7 +135,8 @@ def read_sanctions(spark: SparkSession, path: str) -> DataFrame:
     columns = schemas.SANCTIONS.fieldNames().index("program") + 1
     lines = spark.read.text(path)
     # An empty cell and a missing one both parse as null: whether a row is short is told by its commas outside quotes.
-    cells = F.size(F.split(F.regexp_replace("value", '"([^"]|"")*"', "q"), ",", -1))
+    # Possessive, so that a long quoted cell is passed without recursion.
+    cells = F.size(F.split(F.regexp_replace("value", '"[^"]*+(?:""[^"]*+)*+"', "q"), ",", -1))
     raw = lines.filter(cells >= columns).select(
         F.from_csv("value", schemas.SANCTIONS.simpleString()[7:-1].replace(":", " "), {"quote": '"', "escape": '"'}).alias("row")).select("row.*")
     def clean(name):

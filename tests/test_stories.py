@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from straitline.operators import stories as ST
+from straitline.operators import title_groups
 from straitline.operators.point_in_time import score_series
 from straitline.streaming.slices import stream_stories
 
@@ -70,6 +71,45 @@ def test_many_copies_and_small_chunks(spark, monkeypatch):
     assert got == greedy(rows)
 
 
+def test_components_hold_every_chain_of_similar_titles(spark, monkeypatch):
+    monkeypatch.setattr(title_groups, "TILE", 9)
+    rows = corpus(21, days=20) + corpus(22, "d", days=3, first_id=300)
+    df = ST._titled(spark.createDataFrame(rows, SCHEMA), ("corridor",)).filter("norm <> ''")
+    part = {r.event_id: (r.story_key, r.part) for r in title_groups.split_keys(df).collect()}
+    assert len(part) == sum(bool(norm(r[5])) for r in rows)
+    story = {**greedy([r for r in rows if r[1] == "c"]), **greedy([r for r in rows if r[1] == "d"])}
+    assert all(part[e] == part[s] for e, s in story.items() if e in part) and len(set(part.values())) > 2
+    # Against components by brute force of what may meet: neighbouring windows, either order of the ratio.
+    root = {e: e for e in part}
+
+    def find(e):
+        return e if root[e] == e else find(root[e])
+
+    told = [(r[0], r[1], int(r[4].timestamp() // (3 * 86400)), norm(r[5])) for r in rows if norm(r[5])]
+    for x in told:
+        for y in told:
+            same = x[3] == y[3] or abs(x[2] - y[2]) <= 1 and SequenceMatcher(None, x[3], y[3]).ratio() >= 0.6
+            if x[1] == y[1] and same:
+                root[find(x[0])] = find(y[0])
+    groups = {}
+    for e in part:
+        groups.setdefault(find(e), set()).add(part[e])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(part.values()))
+
+
+def test_rounds_of_many_distinct_titles(spark, monkeypatch):
+    rng, letters = random.Random(4), "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, "c", 1, 0.5, START + timedelta(seconds=12 * i), " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(4)))
+            for i in range(6000)]
+    rows += [(10_000 + i, "c", 1, 0.5, START + timedelta(seconds=30 * i), f"tanker leaves port number {i} for sea") for i in range(900)]
+    rounds = []
+    settle = ST._settled_in_rounds
+    monkeypatch.setattr(ST, "_settled_in_rounds", lambda p, b: rounds.append(settle(p, b)) or rounds[-1])
+    got = {r.event_id: r.story_id for r in ST.cluster_stories(spark.createDataFrame(rows, SCHEMA), batch=500).collect()}
+    assert max(len(parts) for parts in rounds) <= 6  # 14 batches of 500 without components
+    assert {got[10_000 + i] for i in range(900)} == {10_000} and sum(got[i] == i for i in range(6000)) > 5900
+
+
 def test_long_titles_and_window_edge(spark):
     long = " ".join(["corridor"] * 60)
     rows = [(0, "c", 1, 1.0, START, long), (1, "c", 1, 1.0, START + timedelta(days=3), long),
