@@ -142,17 +142,17 @@ def assign_stories(events: DataFrame, keys: tuple = ("corridor",), batch: int =
     pending = titled.filter("norm <> ''")
     big = pending.groupBy("story_key").agg(F.count("*").alias("n")).filter(F.col("n") > batch)
     parts = [founds(titled.filter("norm = ''"))]
-    if not big.isEmpty():
-        columns = ["story_key", "event_id", "at", "norm"]
-        split = split_keys(pending.join(big.select("story_key"), "story_key", "left_semi"))
-        sizes = split.groupBy("story_key", "part").agg(F.count("*").alias("n"))
-        sized = checkpointed(split.join(sizes, ["story_key", "part"]))
-        parts.append(founds(sized.filter("n = 1")))
-        key = F.concat_ws("#", "part", "story_key").alias("story_key")
-        for done in _settled_in_rounds(sized.filter("n > 1").select(key, *columns[1:]), batch):
-            parts.append(done.withColumn("story_key", F.regexp_replace("story_key", "^-?[0-9]+#", "")))
-        pending = pending.join(big.select("story_key"), "story_key", "left_anti")
-    return reduce(DataFrame.unionByName, parts + _settled_in_rounds(pending, batch))
+    if big.isEmpty():
+        return reduce(DataFrame.unionByName, parts + _settled_in_rounds(pending, batch))
+    split = split_keys(pending.join(big.select("story_key"), "story_key", "left_semi"))
+    sizes = split.groupBy("story_key", "part").agg(F.count("*").alias("n"))
+    sized = checkpointed(split.join(sizes, ["story_key", "part"]))
+    parts.append(founds(sized.filter("n = 1")))
+    named = lambda df, part: df.select(F.concat(part, F.lit("#"), "story_key").alias("story_key"), "event_id", "at", "norm")
+    small = pending.join(big.select("story_key"), "story_key", "left_anti")
+    rest = checkpointed(named(sized.filter("n > 1"), F.col("part").cast("string")).unionByName(named(small, F.lit(""))))
+    return reduce(DataFrame.unionByName, parts + [
+        done.withColumn("story_key", F.regexp_replace("story_key", "^-?[0-9]*#", "")) for done in _settled_in_rounds(rest, batch)])
 
 
 def cluster_stories(events: DataFrame, keys: tuple = ("corridor",), batch: int = BATCH) -> DataFrame:

@@ -16,6 +16,7 @@ from straitline.functions.similarity import WINDOW_MICROS, linked_titles
 from straitline.session import checkpointed
 
 TILE = 1000  # titles of a block
+LINKS = 1_000_000  # links of a key that one task joins up (16 MB)
 
 
 def _forest(block: pd.DataFrame) -> pd.DataFrame:
@@ -52,9 +53,39 @@ def title_links(titled: DataFrame) -> DataFrame:
     return blocks.repartition(parts, *group).groupBy(group).applyInPandas(_forest, "story_key string, a long, b long").distinct()
 
 
+def _roots(links: pd.DataFrame) -> pd.DataFrame:
+    """The smallest title of each component of one key, by union-find."""
+    root: dict[int, int] = {}
+
+    def find(i):
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up] if up in root else up
+        return i
+
+    for a, b in zip(links["a"].tolist(), links["b"].tolist()):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    tids = list(root)
+    return pd.DataFrame({"story_key": links["story_key"].iloc[0], "tid": tids, "root": [find(i) for i in tids]})
+
+
 def smallest_members(links: DataFrame) -> DataFrame:
     """``story_key, tid, root``: of each linked title the smallest one of its component.
 
+    Keys of at most ``LINKS`` links are a task each; larger ones are contracted by all tasks together.
+    """
+    links = checkpointed(links)
+    large = links.groupBy("story_key").agg(F.count("*").alias("n")).filter(F.col("n") > LINKS).select("story_key")
+    kind = "story_key string, tid long, root long"
+    if large.isEmpty():
+        return links.groupBy("story_key").applyInPandas(_roots, kind)
+    return links.join(large, "story_key", "left_anti").groupBy("story_key").applyInPandas(_roots, kind).unionByName(
+        _contracted(links.join(large, "story_key", "left_semi")))
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """The same for keys of any size.
+
     Each round points every title to the smallest title next to it, and links what lay around it to that one; rounds follow the
     logarithm of a component's size. Only the links of a round are kept.
     """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from straitline.operators import stories as ST
 from straitline.operators import title_groups
 from straitline.operators.point_in_time import score_series
+from straitline.streaming import stateful
 from straitline.streaming.slices import stream_stories
 
 START = datetime(2024, 1, 1)
@@ -71,8 +72,10 @@ def test_many_copies_and_small_chunks(spark, monkeypatch):
     assert got == greedy(rows)
 
 
-def test_components_hold_every_chain_of_similar_titles(spark, monkeypatch):
+@pytest.mark.parametrize("links", [0, 10 ** 6])
+def test_components_hold_every_chain_of_similar_titles(spark, monkeypatch, links):
     monkeypatch.setattr(title_groups, "TILE", 9)
+    monkeypatch.setattr(title_groups, "LINKS", links)
     rows = corpus(21, days=20) + corpus(22, "d", days=3, first_id=300)
     df = ST._titled(spark.createDataFrame(rows, SCHEMA), ("corridor",)).filter("norm <> ''")
     part = {r.event_id: (r.story_key, r.part) for r in title_groups.split_keys(df).collect()}
@@ -184,3 +187,38 @@ def test_series_equals_scoring_each_day_alone(spark):
         assert [w for _, w, _ in sorted(best.get(day, []))] == pytest.approx([weights[s] for s in want], abs=1e-3)
         quiet = got[("quiet", day)]
         assert (quiet.score, quiet.events, quiet.raw) == (0.05, 0, 0.0)
+
+
+def test_stateful_stream_equals_batch_and_forgets(spark, tmp_path):
+    rows = sorted(corpus(5, days=12) + corpus(6, "d", days=12, first_id=500), key=lambda r: (r[4], r[0]))
+    rows += [(2000, "e", 1, 1.0, START + timedelta(days=40), "much later"), (2001, "c", 1, 1.0, START, "far too late")]
+    held = []
+    for i in range(0, len(rows), 25):
+        spark.createDataFrame(rows[i : i + 25], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i:03d}"))
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = stateful.append_table(stateful.story_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination()
+        assert query.exception() is None
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    # Another row makes the watermark of the last ones count: keys that went quiet are gone.
+    spark.createDataFrame([(3000, "e", 1, 1.0, START + timedelta(days=80), "later still"), (3001, "c", 1, 1.0, START, "far too late")], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / "q"))
+    query = stateful.append_table(stateful.story_stream(spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    got = {r.event_id: (r.story_id, r.held) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {**greedy([r for r in rows if r[1] == "c" and r[0] != 2001]), **greedy([r for r in rows if r[1] == "d"]), 2000: 2000, 3000: 3000}
+    assert {e: s for e, (s, _) in got.items() if e not in (2001,)} == {**want}
+    founders = {r[0]: r[4] for r in rows if want.get(r[0]) == r[0]}
+    most = max(sum(at <= b <= at + timedelta(days=3) for b in founders.values()) for at in founders.values())
+    assert max(h for _, h in got.values()) <= most < len(founders) / 2
+
+
+def test_closed_windows_and_late_slices(spark, tmp_path):
+    schema = "path string, slice_ts timestamp, line_no int, line string, readable boolean"
+    slice_ = lambda minutes, readable=True: (f"s{minutes}", START + timedelta(minutes=minutes), 0, "", readable)
+    landed = [[slice_(0), slice_(0), slice_(15), slice_(30, False)], [slice_(60), slice_(300)], [slice_(45), slice_(600)], [slice_(1000)]]  # 45 comes 4 hours late
+    for i, part in enumerate(landed):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        stateful.append_table(stateful.slices_read(stream, "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {int((r.start - START).total_seconds() // 3600): r.slices_read for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: 2, 1: 1, 5: 1, 10: 1}
