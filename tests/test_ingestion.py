@@ -173,3 +173,13 @@ def test_network_seed_defaults(spark, tmp_path):
 def test_sanctions_keep_listed_names_without_a_program(spark, tmp_path):
     (tmp_path / "s.csv").write_text('4,"X, Y",,\n5,"SHORT",""\n6,Z,-0- ,P,more,columns\n7,"",,\n')
     assert sorted(tuple(r) for r in landing.read_sanctions(spark, str(tmp_path / "s.csv")).collect()) == [("4", "X, Y", "", ""), ("6", "Z", "", "P")]
+
+
+def test_sanctions_with_long_quoted_cells(spark, tmp_path):
+    long = 'remark, ""quoted"", ' * 1000
+    (tmp_path / "list.csv").write_text("\n".join([
+        f'1,"SHIP, ONE",vessel,PROG,-0- ,-0- ,-0- ,-0- ,-0- ,-0- ,-0- ,"{long}"', f'2,"{long}",vessel,,-0- ,-0- ,-0- ,-0- ,-0- ,-0- ,-0- ,x',
+        '3,"SHORT, ROW",vessel', '4,PLAIN,-0- ,PROG']))
+    rows = {r.ent_num: r for r in landing.read_sanctions(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"1", "2", "4"} and rows["1"].name == "SHIP, ONE" and rows["2"].program == "" and len(rows["2"].name) > 15_000
+    assert (rows["4"].entity_type, rows["4"].program) == ("", "PROG")
