@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import math
 import os
 import uuid
@@ -24,7 +25,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the cluster's shared folder and read again: lineage ends there, and Spark knows its size."""
     path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables whose readers are all done, and let Spark's cleaner free the shuffles of finished jobs.
+
+    Whatever is still needed must have been stored since: nothing can be computed anew from a table that is gone.
+    """
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()  # the cleaner frees what neither Python nor the JVM refers to any more
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

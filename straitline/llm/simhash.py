@@ -12,10 +12,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from straitline.llm.common import arrow_map, ascii_lower, fresh, hold_alone, row_key, stored
+from straitline.llm.common import arrow_map, ascii_lower, discard, fresh, hold_alone, row_key, stored
 from straitline.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -170,9 +171,39 @@ def prefixes(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMIL
             tokens.append(every[order[:every.size - _needed(every.size, similarity) + 1]])
             counts.append(tokens[-1].size)
             sizes.append(every.size)
-        return [np.concatenate(tokens).view(np.int64), np.repeat(np.array(keys, np.int64), counts), np.repeat(np.array(sizes, np.int64), counts)]
+        return [np.concatenate(tokens).view(np.int64), np.repeat(np.array(keys, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts)]
 
-    return arrow_map(texts.select("key", "text"), run, "token long, key long, size long")
+    return arrow_map(texts.select("key", "text"), run, "token long, key long, size int")
+
+
+def _without_lone(batches):
+    """Rows in order of their token, but for those whose token no row next to them has; a partition's first and last rows stay."""
+    held, last = None, None  # the row before this batch, not yet given, and the token before it
+    for batch in batches:
+        rows = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks()
+        token = rows.column("token").to_numpy()
+        if token.size < 2:
+            held = rows.to_batches()[0] if token.size else held
+            continue
+        same = token[1:] == token[:-1]
+        keep = np.concatenate(([last is None or last == token[0]], same)) | np.concatenate((same, [False]))
+        yield from rows.slice(0, token.size - 1).filter(pa.array(keep[:-1])).to_batches()
+        held, last = rows.slice(token.size - 1).to_batches()[0], token[-2]
+    if held is not None:
+        yield held
+
+
+def shared_prefixes(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The prefix rows without the shingles that only one text has, and these are most: one exchange finds them.
+
+    Rows go by ranges of token and key, so that a token that very many texts share takes several tasks.
+    """
+    every = stored(prefixes(texts, shingle, similarity), "prefixes")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = every.repartitionByRange(parts, "token", "key").sortWithinPartitions("token", "key")
+    shared = stored(rows.mapInArrow(_without_lone, every.schema), "shared-shingles")
+    discard(every)
+    return shared
 
 
 def _jaccard(a: bytes, b: bytes) -> float:
@@ -189,7 +220,9 @@ def similar_links(texts: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, si
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a") \
         .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     checked = arrow_map(both.select("a", "b", "x", "y"), lambda a, b, x, y: [a, b, [_jaccard(p, q) for p, q in zip(x, y)]], "a long, b long, likeness double")
-    return checked.filter(F.col("likeness") >= similarity).select("a", "b")
+    links = stored(checked.filter(F.col("likeness") >= similarity).select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def similar_groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -199,8 +232,7 @@ def similar_groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float =
     and what links is contracted. Then all pairs of a bucket that are still in different groups are met, without a cap: those
     with too few prefix shingles in common cannot be similar, all others are verified.
     """
-    every = stored(prefixes(texts, shingle, similarity), "prefixes")
-    shared = stored(every.join(every.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "token"), "shared-shingles")
+    shared = shared_prefixes(texts, shingle, similarity)
     session = texts.sparkSession
     tested = session.createDataFrame([], "a long, b long")
     links, groups = tested, session.createDataFrame([], "node long, component long")
@@ -216,19 +248,23 @@ def similar_groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float =
         nonlocal tested, links, groups
         fresh_pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         tested = tested.unionByName(fresh_pairs)
-        links = links.unionByName(stored(similar_links(texts, fresh_pairs, shingle, similarity), "links"))
+        links = links.unionByName(similar_links(texts, fresh_pairs, shingle, similarity))
         groups = stored(components(links, "a", "b"), "groups")
 
     for k in range(ROUNDS):
-        rows = state()
+        rows = state() if k else shared.withColumn("label", F.col("key"))  # at first every text is a group of its own
         one = rows.groupBy("token").agg(F.min_by(F.struct("key", "size", "label"), F.xxhash64("key", F.lit(k))).alias("one"))
         met = rows.join(one, "token").filter((F.col("label") != F.col("one.label")) & alike(F.col("size"), F.col("one.size")))
         verified(met.select(F.least("key", "one.key").alias("a"), F.greatest("key", "one.key").alias("b")).distinct())
+        if k:
+            discard(rows)
 
-    rows = state()
+    open_buckets = rows = state()
+    discard(shared)
     # Rows of a bucket's largest group are not held against each other.
     largest = rows.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     rows = stored(rows.join(largest, "token").select("token", "key", "size", "label", (F.col("label") == F.col("largest")).alias("inside")), "open-rows")
+    discard(open_buckets)
     x = rows.filter("not inside").select("token", *(F.col(c).alias(f"x_{c}") for c in ("key", "size", "label")))
     y = rows.select("token", *(F.col(c).alias(f"y_{c}") for c in ("key", "size", "label", "inside")))
     met = x.join(y, (x["token"] == y["token"]) & (F.col("x_label") != F.col("y_label")) & (F.col("y_inside") | (F.col("x_key") < F.col("y_key")))
@@ -238,6 +274,7 @@ def similar_groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float =
     # Beyond the prefixes two sets share less than ``similarity`` of the larger one.
     enough = F.col("n") + F.ceil(similarity * F.col("most") - 1e-9) - 1 >= similarity / (1 + similarity) * F.col("sizes") - 1e-9
     verified(common.filter(enough).select("a", "b"))
+    discard(rows)
     return groups
 
 
@@ -259,7 +296,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
                              f"row long, id {kind}, key long"), "text-keys")
     nodes = stored(keyed.groupBy("key").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row")), "distinct-texts")
     texts = docs.select(row_key(docs).alias("row"), F.col(f"`{text}`").alias("text")).join(nodes, "row").dropDuplicates(["key"]).select("key", "text")
-    linked = similar_groups(stored(texts, "texts"), shingle, similarity)
+    texts = stored(texts, "texts")
+    linked = similar_groups(texts, shingle, similarity)
+    discard(texts)
     classes = keyed.join(linked, F.col("key") == F.col("node"), "left")
     stay = classes.groupBy(F.coalesce("component", "key").alias("component")).agg(
         F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias(row)).select(row)

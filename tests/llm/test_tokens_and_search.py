@@ -296,3 +296,17 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     docs.filter("false").write.parquet(str(tmp_path / "empty" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "personal_data", "packing"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=40), st.lists(st.integers(0, 40), max_size=5))
+def test_lone_shingles_go_and_no_others(tokens, cuts):
+    import pyarrow as pa
+
+    tokens = sorted(tokens)
+    cuts = sorted(min(c, len(tokens)) for c in cuts)
+    batches = [pa.RecordBatch.from_arrays([pa.array(tokens[a:b], pa.int64()), pa.array(range(a, b), pa.int64())], names=["token", "key"])
+               for a, b in zip([0, *cuts], [*cuts, len(tokens)])]
+    got = [(t, k) for b in simhash._without_lone(iter(batches)) for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    want = [(t, k) for k, t in enumerate(tokens) if tokens.count(t) > 1 or k in (0, len(tokens) - 1)]
+    assert got == want
