@@ -30,16 +30,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner free the shuffles of finished jobs: those that neither Python nor the JVM refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables whose readers are all done, and let Spark's cleaner free the shuffles of finished jobs.
+    """Delete stored tables whose readers are all done, and the shuffles that went with them.
 
     Whatever is still needed must have been stored since: nothing can be computed anew from a table that is gone.
     """
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_path)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()  # the cleaner frees what neither Python nor the JVM refers to any more
-    tables[0].sparkSession._jvm.System.gc()
+    release(tables[0].sparkSession)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from straitline.llm.common import arrow_map, ascii_lower, discard, fresh, hold_alone, row_key, stored
+from straitline.llm.common import arrow_map, ascii_lower, discard, fresh, hold_alone, release, row_key, stored
 from straitline.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -212,11 +212,17 @@ def _jaccard(a: bytes, b: bytes) -> float:
     return both / max(1, x.size + y.size - both)
 
 
-def similar_links(texts: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the candidate ``pairs`` whose texts really share ``similarity`` of their shingles; ``texts``: ``key, text``."""
+def _shingle_sets(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """``key, shingles`` of the texts that some pair asks for, stored."""
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     one = texts.join(ends, "key", "left_semi").select("key", "text")
-    sets = stored(arrow_map(one, lambda ks, ts: [ks, [shingle_set(t, shingle).tobytes() for t in ts]], "key long, shingles binary"), "shingle-sets")
+    return stored(arrow_map(one, lambda ks, ts: [ks, [shingle_set(t, shingle).tobytes() for t in ts]], "key long, shingles binary"), "shingle-sets")
+
+
+def similar_links(texts: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the candidate ``pairs`` whose texts really share ``similarity`` of their shingles; ``texts``: ``key, text``."""
+    sets = _shingle_sets(texts, pairs, shingle)
+    release(texts.sparkSession)  # the texts' way to their pairs is done before the sets' begins
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a") \
         .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     checked = arrow_map(both.select("a", "b", "x", "y"), lambda a, b, x, y: [a, b, [_jaccard(p, q) for p, q in zip(x, y)]], "a long, b long, likeness double")
@@ -233,6 +239,7 @@ def similar_groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float =
     with too few prefix shingles in common cannot be similar, all others are verified.
     """
     shared = shared_prefixes(texts, shingle, similarity)
+    release(texts.sparkSession)
     session = texts.sparkSession
     tested = session.createDataFrame([], "a long, b long")
     links, groups = tested, session.createDataFrame([], "node long, component long")
