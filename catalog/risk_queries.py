@@ -100,13 +100,23 @@ def candidate_scores(spark, sf):
 
 # --- stories over documents -------------------------------------------------------------
 
+#: First instant of the pages, the time between two of them, and the span that all of them stay within: less than one lookback.
+_PAGES_FROM, _PAGE_STEP, _PAGES_SPAN = 1704067200 * 10 ** 6, 600 * 10 ** 6, 170 * 86400 * 10 ** 6
+
+
+def _page_instant(spark, sf, page):
+    """Pages are ten minutes apart, or closer where the table is so large that the last lookback would not see all of them."""
+    last = table(spark, sf, "pages").agg(F.max("page_id")).first()[0] or 0
+    return F.timestamp_micros(F.lit(_PAGES_FROM) + F.coalesce(page, F.lit(last)) * min(_PAGE_STEP, _PAGES_SPAN // (last + 1)))
+
+
 def document_events(spark, sf):
-    """Web pages as events: the language as corridor, the host as source, the whole title as headline, ten minutes apart."""
+    """Web pages as events: the language as corridor, the host as source, the whole title as headline."""
     return table(spark, sf, "pages").select(
         F.col("page_id").alias("event_id"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("corridor"),
         F.regexp_extract("url", "^https?://([^/]+)", 1).alias("source"),
         (F.length("html") % 5 + 1).cast("int").alias("severity"), ((F.length("html") % 10 + 1) / F.lit(10.0)).alias("confidence"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 600).alias("ts"),
+        _page_instant(spark, sf, F.col("page_id")).alias("ts"),
         F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
 
 
@@ -116,8 +126,7 @@ def document_corridors(spark, sf):
 
 def _after_documents(spark, sf):
     """Scoring instant: that of the last page."""
-    last = table(spark, sf, "pages").agg(F.max("page_id")).first()[0]
-    return F.timestamp_seconds(F.lit(1704067200 + 600 * (last or 0)))
+    return _page_instant(spark, sf, F.lit(None).cast("long"))
 
 
 @query("similar_titles")
@@ -148,9 +157,9 @@ def story_weight_totals(spark, sf):
 
 
 # Exact titles only: each event's story is its title, so SQL can follow the strongest member rule.
-_BEST = """WITH d AS (SELECT page_id AS doc_id, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, length(html) % 5 + 1 AS sev,
+_BEST = f"""WITH d AS (SELECT page_id AS doc_id, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, length(html) % 5 + 1 AS sev,
   CAST(length(html) % 10 + 1 AS DOUBLE) / CAST(10 AS DOUBLE) AS conf, regexp_extract(url, '^https?://([^/]+)', 1) AS source,
-  TIMESTAMP '2024-01-01' + to_minutes(CAST(page_id * 10 AS BIGINT)) AS ts FROM pages),
+  make_timestamp({_PAGES_FROM} + page_id * least({_PAGE_STEP}, {_PAGES_SPAN} // ((SELECT max(page_id) FROM pages) + 1))) AS ts FROM pages),
 w AS (SELECT *, sev * conf * exp(-CAST(0.1 AS DOUBLE) * greatest(CAST(0 AS DOUBLE), (epoch_us((SELECT max(ts) FROM d)) - epoch_us(ts)) / CAST(86400000000 AS DOUBLE))) AS w FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY w DESC, ts, doc_id) AS k, count(*) OVER (PARTITION BY lang, source) AS members,
   min(doc_id) OVER (PARTITION BY lang, source) AS story_id FROM w)
