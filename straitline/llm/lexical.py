@@ -138,7 +138,8 @@ def best(lists: list[tuple[np.ndarray, np.ndarray]], k: int = TOP, short: int =
             floor = max(0, int(np.partition(values, -k)[-k]) - 1)
             open_ = values + sum(bound for _, _, bound in long) > floor
             docs, values = docs[open_], values[open_]
-        long.append((docs, values, int(values.max())))
+        if len(docs):
+            long.append((docs, values, int(values.max())))
     long.sort(key=lambda x: x[2])
     ids, points = [d.tolist() for d, _, _ in long], [v.tolist() for _, v, _ in long]
     reach = np.cumsum([bound for _, _, bound in long]).tolist()  # most that a list and those before it can add
