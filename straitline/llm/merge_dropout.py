@@ -1,9 +1,10 @@
 """Seeded merge-dropout: varied merge-type segmentations under a public vocabulary, and their lossless decoding.
 
-Merges are taken from an agenda, best score first. A candidate is skipped when a keyed hash says so: the key is the seed, the
-document, the place of the occurrence, and the candidate's place and rank. Each occurrence is segmented by its own key; what is
-remembered of a stretch is its segmentation without dropout and the candidates taken for it, which holds for all occurrences
-that skip none of these.
+Merges are taken from an agenda, best score first. A candidate is skipped when a keyed hash says so: the key is the seed and the
+document, the candidate's place in the whole text and its rank. So each occurrence is segmented by its own key, and it does not
+matter how a text is cut into stretches, as long as no merge crosses a cut. What is remembered of a stretch is a tree: the merges
+taken without dropout, then those taken once the k-th of them is skipped, and so on. Occurrences walk the tree, all of a text at
+once, and the agenda runs once per branch instead of once per occurrence.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from straitline.llm.common import arrow_map, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 42
-#: Stretches that a worker remembers at a time, besides as many that it remembered before.
-REMEMBERED = 150_000
-#: Characters up to which the agenda is a list, which is quicker for words; longer stretches have a heap.
+#: Branches that a worker remembers at a time, besides as many that it remembered before.
+REMEMBERED = 300_000
+#: Characters up to which a stretch is remembered and its agenda is a list, which is quicker for words; longer stretches have a
+#: heap. Both give the same pieces.
 SHORT = 48
+PLACE, RANK = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 MASK, NEVER = (1 << 64) - 1, 1 << 62
 
 SPACE_MARK = "▁"
@@ -58,33 +61,28 @@ def vocabulary(path: str):
 
 def _dropped(key: int, place: int, rank: int, limit: int) -> bool:
     """Whether the keyed hash skips a candidate; ``limit`` of 2**24 skips all."""
-    x = (key + place * 0x9E3779B97F4A7C15 ^ rank * 0xD1B54A32D192ED03) * 0xBF58476D1CE4E5B9 & MASK
+    x = (key + place * PLACE ^ rank * RANK) * 0xBF58476D1CE4E5B9 & MASK
     return ((x ^ x >> 31) * 0x94D049BB133111EB & MASK) >> 40 < limit
 
 
-def merged(stretch: str, ranks: dict[str, int], key: int, limit: int, taken: list[int] | None = None) -> list[str]:
-    """Pieces of a stretch: the agenda's merges, best rank first, then from the left, without those that are skipped.
+def merged(stretch: str, ranks: dict[str, int], skipped: frozenset, taken: list[int]) -> list[str]:
+    """Pieces of a stretch: the agenda's merges, best rank first, then from the left, without the ``skipped`` (place, rank).
 
-    ``taken`` gets place and rank of each merge.
+    ``taken`` gets place and rank of each merge. A place is that of the left side's first character.
     """
-    if len(stretch) > SHORT:
-        return _merged_long(stretch, ranks, key, limit, taken)
-    symbols, get = list(stretch), ranks.get
+    symbols, places, get = list(stretch), list(range(len(stretch))), ranks.get
     agenda = [get(stretch[a:a + 2], NEVER) for a in range(len(stretch) - 1)]
     while agenda:
         rank = min(agenda)
         if rank == NEVER:
             break
         a = agenda.index(rank)
-        if limit:
-            x = (key + a * 0x9E3779B97F4A7C15 ^ rank * 0xD1B54A32D192ED03) * 0xBF58476D1CE4E5B9 & MASK
-            if ((x ^ x >> 31) * 0x94D049BB133111EB & MASK) >> 40 < limit:  # _dropped, written out: this is the hot loop
-                agenda[a] = NEVER
-                continue
-        if taken is not None:
-            taken += (a, rank)
+        if skipped and (places[a], rank) in skipped:
+            agenda[a] = NEVER
+            continue
+        taken += (places[a], rank)
         symbols[a:a + 2] = [symbols[a] + symbols[a + 1]]
-        del agenda[a]
+        del agenda[a], places[a + 1]
         if a:
             agenda[a - 1] = get(symbols[a - 1] + symbols[a], NEVER)
         if a < len(agenda):
@@ -92,7 +90,8 @@ def merged(stretch: str, ranks: dict[str, int], key: int, limit: int, taken: lis
     return symbols
 
 
-def _merged_long(stretch: str, ranks: dict[str, int], key: int, limit: int, taken: list[int] | None = None) -> list[str]:
+def merged_by_key(stretch: str, ranks: dict[str, int], key: int, limit: int) -> list[str]:
+    """The same with a heap, for stretches of any length, skipping what the keyed hash says."""
     symbols, n = list(stretch), len(stretch)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
     agenda: list[tuple[int, int, int, str]] = []
@@ -110,8 +109,6 @@ def _merged_long(stretch: str, ranks: dict[str, int], key: int, limit: int, take
             continue  # one of its sides has been merged since
         if limit and _dropped(key, a, rank, limit):
             continue
-        if taken is not None:
-            taken += (a, rank)
         symbols[a], symbols[b], after[a] = pair, "", after[b]
         if after[a] >= 0:
             before[after[a]] = a
@@ -121,47 +118,90 @@ def _merged_long(stretch: str, ranks: dict[str, int], key: int, limit: int, take
     return [s for s in symbols if s]
 
 
+class Branch:
+    """A stretch with some merges skipped: its ids, the merges taken since the last skip, and the branches behind further skips."""
+
+    __slots__ = ("ids", "taken", "skipped", "children", "stretch")
+
+    def __init__(self, ids: bytes, taken: bytes, skipped: frozenset, stretch: str):
+        self.ids, self.taken, self.skipped, self.stretch = ids, taken, skipped, stretch
+        self.children: dict[int, Branch] | None = None
+
+
 class Segmenter:
-    """Segmentations of whole texts under a seed; remembers those of the stretches it has met."""
+    """Segmentations of whole texts under a seed; remembers branches of the stretches it has met."""
 
     def __init__(self, path: str, dropout: float, seed: int):
         self.ids, self.ranks, self.single, self.raw = vocabulary(path)
         self.limit, self.seed = int(dropout * (1 << 24)), seed & MASK
-        #: Of a stretch its ids without dropout, and places and ranks of the merges taken for them.
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.before: dict[str, tuple[bytes, bytes]] = {}
+        #: Of a stretch, as cut from a text, its branch without skips; a tuple is a stretch that has no space before it.
+        self.known: dict[str | tuple, Branch] = {}
+        self.before: dict[str | tuple, Branch] = {}
+        self.branches = 0
         self.breaks = not any("\n" in p for p in self.ids)
         # Marks that no piece holds behind a letter: merges never reach across such a place either.
         ends = {p[k] for p in self.ids for k in range(1, len(p)) if p[k - 1].isalpha()}
         self.ends = "".join(c for c in ".,;:!?" if c not in ends)
+        self.mark = array("I", [self.single[b] for b in SPACE_MARK.encode()]).tobytes()
 
     def _spelled(self, piece: str) -> list[int]:
         """Ids of a piece: its own, or those of its bytes where the vocabulary lacks it."""
         i = self.ids.get(piece)
         return [i] if i is not None else [self.single[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def _segment(self, part: str, key: int, limit: int, taken: list[int] | None = None) -> bytes:
-        """Ids of a stretch; one that starts with a line break or a mark stands as it is, any other after a space."""
-        tail: list[int] = []
-        if self.ends and part[-1] in self.ends and part[-2:-1].isalpha():
-            part, tail = part[:-1], self._spelled(part[-1])
-        stretch = part if part[0] in "\n▁" else SPACE_MARK + part
+    def _written(self, pieces: list[str]) -> bytes:
         get, out = self.ids.get, []
-        for piece in merged(stretch, self.ranks, key, limit, taken):
+        for piece in pieces:
             i = get(piece)
             out += [i] if i is not None else self._spelled(piece)
-        return array("I", out + tail).tobytes()
+        return array("I", out).tobytes()
 
-    def _known(self, part: str) -> tuple[bytes, bytes]:
+    def _branch(self, stretch: str, skipped: frozenset, at: int) -> Branch:
+        """The branch of a stretch behind ``skipped``, whose first ``at`` merges were those of the branch before it."""
+        taken: list[int] = []
+        if self.ends and stretch[-1] in self.ends and stretch[-2:-1].isalpha():
+            pieces = [*merged(stretch[:-1], self.ranks, skipped, taken), stretch[-1]]
+        else:
+            pieces = merged(stretch, self.ranks, skipped, taken)
+        self.branches += 1
+        return Branch(self._written(pieces), array("Q", taken[2 * at:]).tobytes(), skipped, stretch)
+
+    def _root(self, part: str | tuple) -> Branch:
         own = self.before.get(part)
-        if own is None:
-            taken: list[int] = []
-            own = self._segment(part, 0, 0, taken), array("Q", taken).tobytes()
+        if own is not None:
+            own.children = None  # only what is met again is remembered on
+            self.branches += 1
+        else:
+            stretch = part[0] if type(part) is tuple else part if part[0] in "\n▁" else SPACE_MARK + part
+            if part == (SPACE_MARK,):  # a literal mark would read as a space: its bytes
+                own = Branch(self.mark, b"", frozenset(), stretch)
+            elif len(stretch) > SHORT:  # without ids: segmented where it stands
+                return Branch(b"", b"", frozenset(), stretch)
+            else:
+                own = self._branch(stretch, frozenset(), 0)
         self.known[part] = own
         return own
 
-    def _parts(self, text: str) -> list[str]:
-        """Stretches that merges never cross: words with the space before them, or with a line break."""
+    def _child(self, parent: Branch, at: int, done: int) -> Branch:
+        """The branch behind the skip of the ``at``-th merge of ``parent``; ``done`` merges were taken before it."""
+        if parent.children is None:
+            parent.children = {}
+        own = parent.children.get(at)
+        if own is None:
+            place, rank = array("Q", parent.taken[16 * at:16 * at + 16])
+            own = parent.children[at] = self._branch(parent.stretch, parent.skipped | {(place, rank)}, done)
+        return own
+
+    def _parts(self, text: str) -> list[str | tuple]:
+        """Stretches that merges never cross: words with the space before them, or with a line break, and literal marks."""
+        if SPACE_MARK in text:
+            first, *rest = text.split(SPACE_MARK)
+            parts = self._parts(first) if first else [SPACE_MARK]  # the space put before a text
+            for part in rest:
+                parts.append((SPACE_MARK,))
+                own = STRETCH.findall(part.replace(" ", SPACE_MARK))
+                parts += [(x,) if k == 0 and x[0] != SPACE_MARK else x for k, x in enumerate(own)]
+            return parts
         if self.breaks and text:
             parts = text.replace("\n", " \n").split(" ")
             if all(parts):
@@ -172,37 +212,37 @@ class Segmenter:
         """Piece ids of a text; ``doc`` is part of the key of each occurrence."""
         if not text:
             return np.empty(0, np.uint32)
-        if SPACE_MARK in text:  # it would read as a space: its bytes instead, between texts of their own
-            mark = np.array([self.single[b] for b in SPACE_MARK.encode()], np.uint32)
-            first, *rest = text.split(SPACE_MARK)
-            out = [self.encode(first, doc) if first else np.array(self._spelled(SPACE_MARK), np.uint32)]
-            for part in rest:
-                # The space put before a text is taken off again when the whole is read: here it must not be put.
-                out += [mark, self._bare(part)]
-            return np.concatenate(out)
-        parts = self._parts(text)
-        if len(self.known) > REMEMBERED:
-            self.before, self.known = self.known, {}
+        if self.branches > REMEMBERED:
+            self.before, self.known, self.branches = self.known, {}, 0
         get = self.known.get
-        found = [get(s) or self._known(s) for s in parts]
-        out = [ids for ids, _ in found]
+        parts = [get(s) or self._root(s) for s in self._parts(text)]
+        lengths = np.fromiter((len(b.stretch) for b in parts), np.uint64, len(parts))
+        own = np.uint64(xxhash.xxh64_intdigest(str(doc).encode(), self.seed))
+        keys = own + (np.cumsum(lengths) - lengths) * np.uint64(PLACE)
         if self.limit:
-            own = np.uint64(xxhash.xxh64_intdigest(str(doc).encode(), self.seed))
-            keys = own + np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            keys ^= keys >> np.uint64(31)
-            # _dropped for all merges of the text at once; only where one is skipped does the agenda run again.
-            places, ranks = np.frombuffer(b"".join(t for _, t in found), np.uint64).reshape(-1, 2).T
-            at = np.repeat(np.arange(len(parts)), [len(t) // 16 for _, t in found])
-            x = ((keys[at] + places * np.uint64(0x9E3779B97F4A7C15)) ^ (ranks * np.uint64(0xD1B54A32D192ED03))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)
-            for i in np.unique(at[x < np.uint64(self.limit)]).tolist():
-                out[i] = self._segment(parts[i], int(keys[i]), self.limit)
+            self._walk(parts, keys)
+        out = [b.ids for b in parts]
+        for i in np.flatnonzero(lengths > SHORT).tolist():
+            out[i] = self._written(merged_by_key(parts[i].stretch, self.ranks, int(keys[i]), self.limit))
         return np.frombuffer(b"".join(out), "<u4")
 
-    def _bare(self, part: str) -> np.ndarray:
-        """Ids of a text without a space before it, from its characters: after a literal mark, which is rare."""
-        return np.array([i for c in part.replace(" ", SPACE_MARK) for i in self._spelled(c)], np.uint32)
+    def _walk(self, parts: list[Branch], keys: np.ndarray) -> None:
+        """Put in place of each stretch the branch that its key leads to: _dropped for all merges at once, a skip a round."""
+        at, done = np.arange(len(parts)), np.zeros(len(parts), np.int64)
+        while at.size:
+            taken = [parts[i].taken for i in at.tolist()]
+            sizes = np.fromiter(map(len, taken), np.int64, len(taken)) // 16
+            starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(at.size), sizes)
+            places, ranks = np.frombuffer(b"".join(taken), np.uint64).reshape(-1, 2).T
+            x = ((keys[at][of] + places * np.uint64(PLACE)) ^ (ranks * np.uint64(RANK))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)
+            hits = np.flatnonzero(x < np.uint64(self.limit))
+            who, first = np.unique(of[hits], return_index=True)
+            merge = hits[first] - starts[who]
+            at = at[who]
+            done[at] += merge
+            for i, k, n in zip(at.tolist(), merge.tolist(), done[at].tolist()):
+                parts[i] = self._child(parts[i], k, n)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids stand for, without the space put before it."""

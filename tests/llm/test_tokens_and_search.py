@@ -117,16 +117,59 @@ def test_each_occurrence_is_segmented_by_its_own_key():
     own = merge_dropout.segmenter(path, 0.1)
     seen = {tuple(own.encode("understanding", doc).tolist()) for doc in range(300)}
     assert len(seen) > 10
+
+
+def plain_agenda(own, text, doc):
+    """Whole texts between literal marks, one agenda each, candidate by candidate."""
+    import xxhash
+
+    key, out, place = xxhash.xxh64_intdigest(str(doc).encode(), own.seed), [], 0
+    for k, part in enumerate(text.split("▁")):
+        if k:
+            out += [own.single[b] for b in "▁".encode()]
+        symbols = list(("" if k else "▁") + part.replace(" ", "▁"))
+        starts = list(range(place + bool(k), place + bool(k) + len(symbols)))
+        place = starts[-1] + 1 if symbols else place + bool(k)
+        skipped = set()
+        while True:
+            pairs = [(own.ranks[symbols[i] + symbols[i + 1]], starts[i], i) for i in range(len(symbols) - 1)
+                     if symbols[i] + symbols[i + 1] in own.ranks and (starts[i], symbols[i] + symbols[i + 1]) not in skipped]
+            if not pairs:
+                break
+            rank, at, i = min(pairs)
+            if merge_dropout._dropped(key, at, rank, own.limit):
+                skipped.add((at, symbols[i] + symbols[i + 1]))
+                continue
+            symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+            del starts[i + 1]
+        out += [x for s in symbols for x in own._spelled(s)]
+    return out
+
+
+WORDS = ["understanding", "the", "international,", "a" * 47, "b." * 24, "communication" * 4, "internationalisation" * 3, "▁", "x▁the", "\n", "", "日本語", "end."]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), max_size=12), st.text(alphabet="theinrs .,\n日▁1", max_size=60), st.sampled_from([0.1, 0.5, 0.9]))
+def test_merge_dropout_is_the_plain_agenda(words, text, dropout):
+    own = merge_dropout.segmenter(tokenizer_path(merge_dropout.VOCABULARY), dropout)
+    for t in (" ".join(words), text, text + "▁".join(words)):
+        for doc in (3, "x"):
+            assert own.encode(t, doc).tolist() == (plain_agenda(own, t, doc) if t else [])
+            assert own.decode(own.encode(t, doc)) == t
+
+
+def test_merge_dropout_forgets_and_has_no_length_rule(monkeypatch):
+    path = tokenizer_path(merge_dropout.VOCABULARY)
     text = ("understanding the international " * 40 + "x" * 60 + " end.").strip()
-    parts = own._parts(text)
-    plain, got = merge_dropout.segmenter(path, 0.0), own.encode(text, 3)
-    assert own.decode(got) == text and got.tolist() != plain.encode(text, 3).tolist()
-    # The shortcut for occurrences without a skip gives what the agenda gives for each.
-    keys, segment = {}, own._segment
-    own._segment = lambda part, key, limit, taken=None: keys.setdefault(len(keys), key) and segment(part, key, limit, taken)
-    own.encode(text, 3)
-    own._segment = segment
-    assert 0 < len(keys) < len(parts) and len(set(keys.values())) == len(keys)
+    want = merge_dropout.Segmenter(path, 0.1, 42).encode(text, 3).tolist()
+    for short in (0, 5, 200):
+        monkeypatch.setattr(merge_dropout, "SHORT", short)
+        assert merge_dropout.Segmenter(path, 0.1, 42).encode(text, 3).tolist() == want
+    monkeypatch.setattr(merge_dropout, "REMEMBERED", 2)
+    own = merge_dropout.Segmenter(path, 0.1, 42)
+    assert all(own.encode(text, 3).tolist() == want for _ in range(4))
+    assert len(own.encode("▁" + "the international " * 60, 1)) < 500  # text behind a literal mark is merged too
 
 
 # --- vectors ----------------------------------------------------------------------
