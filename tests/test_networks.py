@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from straitline.operators import criticality as C
+from straitline.operators import flow as flows
 from straitline.operators import network as N
 from straitline.operators import response as R
 from straitline.operators.centrality import betweenness
@@ -91,7 +92,9 @@ def test_scenarios_equal_degraded_copies(spark, nets):
     assert direct == pytest.approx({n: got[n, "half c0"] for n in networks})
 
 
-def test_sink_inflow_is_the_prefix_split(nets):
+@pytest.mark.parametrize("blocks", [64, 2, 1])
+def test_sink_inflow_is_the_prefix_split(nets, monkeypatch, blocks):
+    monkeypatch.setattr(flows, "CUT_BLOCKS", blocks)
     networks, df = nets
     got = {}
     for r in sink_inflow(df).collect():
@@ -106,6 +109,31 @@ def test_sink_inflow_is_the_prefix_split(nets):
             before = flow
 
 
+def test_few_sides_are_tried_per_refinery(spark):
+    rng, rows = random.Random(5), []
+    corridors = [f"c{i}" for i in range(6)]
+    for i, c in enumerate(corridors):
+        rows += [("n", 0, "SOURCE", f"s{i}", None, 40.0 + i), ("n", 1, f"s{i}", c, None, 40.0 + i)]
+        rows += [("n", 2, c, f"p{k}", c, float(rng.randint(1, 15))) for k in range(4)]
+    for r in range(150):
+        rows += [("n", 3, f"p{k}", f"r{r:03}", None, float(rng.randint(1, 5))) for k in rng.sample(range(4), 1 + r % 2)]
+        rows.append(("n", 4, f"r{r:03}", "SINK", None, float(rng.randint(1, 6))))
+    rows = [r + (r[-1],) for r in rows]
+    df = spark.createDataFrame(rows, EDGES)
+    bits, parts = flows.corridor_bits(df).cache(), flows.port_components(df)
+    factors = flows.scenario_factors(df, None, bits, "volume").cache()
+    terms = flows._refinery_terms(df, parts, "volume").join(flows._name_blocks(df, True), ["network_id", "refinery"])
+    suppliers = flows._over_subsets(flows.supplier_terms(df, bits, factors, "volume"), bits).groupBy(*flows.SCENARIO, "x").agg(
+        F.sum("value").alias("suppliers"))
+    cuts = flows._block_cuts(terms, flows._port_inflow(df, bits, factors, parts, "volume"), suppliers, bits)
+    tried = flows.candidate_sides(cuts, bits).join(flows._name_blocks(df, True), ["network_id", "block"]).count()
+    assert 150 <= tried <= 150 * (len(corridors) + 1)
+    got = {r.refinery: r.inflow for r in sink_inflow(df).collect()}
+    for upto in (1, 20, 75, 149, 150):
+        want = max_flow([r for r in rows if r[1] != 4 or r[2] < f"r{upto:03}"])
+        assert sum(v for r, v in got.items() if r < f"r{upto:03}") == pytest.approx(want)
+
+
 def brute_betweenness(rows, length):
     out, nodes, dist = {}, set(), {}
     for r in rows:
