@@ -4,7 +4,7 @@ Merges are taken from an agenda, best score first. A candidate is skipped when a
 document, the candidate's place in the whole text and its rank. So each occurrence is segmented by its own key, and it does not
 matter how a text is cut into stretches, as long as no merge crosses a cut. What is remembered of a stretch is a tree: the merges
 taken without dropout, then those taken once the k-th of them is skipped, and so on. Occurrences walk the tree, all of a text at
-once, and the agenda runs once per branch instead of once per occurrence.
+once, and the agenda runs once per branch instead of once per occurrence where the same branch is wanted often.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ VOCABULARY = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 42
 #: Branches that a worker remembers at a time, besides as many that it remembered before.
 REMEMBERED = 300_000
+#: Occurrences that leave a branch by an unknown way and are segmented by themselves before the ways from it are remembered.
+STRAYS = 8
 #: Characters up to which a stretch is remembered and its agenda is a list, which is quicker for words; longer stretches have a
 #: heap. Both give the same pieces.
 SHORT = 48
 PLACE, RANK = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
-MASK, NEVER = (1 << 64) - 1, 1 << 62
+MASK, NEVER, NONE = (1 << 64) - 1, 1 << 62, frozenset()
 
 SPACE_MARK = "▁"
 #: Pieces hold the mark of a space at their start only, so that merges never cross from a character to such a mark.
@@ -65,10 +67,11 @@ def _dropped(key: int, place: int, rank: int, limit: int) -> bool:
     return ((x ^ x >> 31) * 0x94D049BB133111EB & MASK) >> 40 < limit
 
 
-def merged(stretch: str, ranks: dict[str, int], skipped: frozenset, taken: list[int]) -> list[str]:
+def merged(stretch: str, ranks: dict[str, int], skipped: frozenset, taken: list[int], key: int = 0, limit: int = 0) -> list[str]:
     """Pieces of a stretch: the agenda's merges, best rank first, then from the left, without the ``skipped`` (place, rank).
 
-    ``taken`` gets place and rank of each merge. A place is that of the left side's first character.
+    ``taken`` gets place and rank of each merge. A place is that of the left side's first character. With a ``limit``
+    the keyed hash skips instead.
     """
     symbols, places, get = list(stretch), list(range(len(stretch))), ranks.get
     agenda = [get(stretch[a:a + 2], NEVER) for a in range(len(stretch) - 1)]
@@ -77,7 +80,12 @@ def merged(stretch: str, ranks: dict[str, int], skipped: frozenset, taken: list[
         if rank == NEVER:
             break
         a = agenda.index(rank)
-        if skipped and (places[a], rank) in skipped:
+        if limit:  # _dropped, written out: this is the hot loop
+            x = (key + places[a] * PLACE ^ rank * RANK) * 0xBF58476D1CE4E5B9 & MASK
+            if ((x ^ x >> 31) * 0x94D049BB133111EB & MASK) >> 40 < limit:
+                agenda[a] = NEVER
+                continue
+        elif skipped and (places[a], rank) in skipped:
             agenda[a] = NEVER
             continue
         taken += (places[a], rank)
@@ -121,11 +129,12 @@ def merged_by_key(stretch: str, ranks: dict[str, int], key: int, limit: int) ->
 class Branch:
     """A stretch with some merges skipped: its ids, the merges taken since the last skip, and the branches behind further skips."""
 
-    __slots__ = ("ids", "taken", "skipped", "children", "stretch")
+    __slots__ = ("ids", "taken", "skipped", "children", "stretch", "strays")
 
     def __init__(self, ids: bytes, taken: bytes, skipped: frozenset, stretch: str):
         self.ids, self.taken, self.skipped, self.stretch = ids, taken, skipped, stretch
         self.children: dict[int, Branch] | None = None
+        self.strays = 0
 
 
 class Segmenter:
@@ -156,38 +165,47 @@ class Segmenter:
             out += [i] if i is not None else self._spelled(piece)
         return array("I", out).tobytes()
 
+    def _pieces(self, stretch: str, skipped: frozenset, taken: list[int], key: int = 0, limit: int = 0) -> list[str]:
+        if self.ends and stretch[-1] in self.ends and stretch[-2:-1].isalpha():
+            return [*merged(stretch[:-1], self.ranks, skipped, taken, key, limit), stretch[-1]]
+        return merged(stretch, self.ranks, skipped, taken, key, limit)
+
     def _branch(self, stretch: str, skipped: frozenset, at: int) -> Branch:
         """The branch of a stretch behind ``skipped``, whose first ``at`` merges were those of the branch before it."""
         taken: list[int] = []
-        if self.ends and stretch[-1] in self.ends and stretch[-2:-1].isalpha():
-            pieces = [*merged(stretch[:-1], self.ranks, skipped, taken), stretch[-1]]
-        else:
-            pieces = merged(stretch, self.ranks, skipped, taken)
+        pieces = self._pieces(stretch, skipped, taken)
         self.branches += 1
         return Branch(self._written(pieces), array("Q", taken[2 * at:]).tobytes(), skipped, stretch)
 
     def _root(self, part: str | tuple) -> Branch:
         own = self.before.get(part)
         if own is not None:
-            own.children = None  # only what is met again is remembered on
+            own.children, own.strays = None, 0  # only what is met again is remembered on
             self.branches += 1
         else:
             stretch = part[0] if type(part) is tuple else part if part[0] in "\n▁" else SPACE_MARK + part
             if part == (SPACE_MARK,):  # a literal mark would read as a space: its bytes
-                own = Branch(self.mark, b"", frozenset(), stretch)
+                own = Branch(self.mark, b"", NONE, stretch)
             elif len(stretch) > SHORT:  # without ids: segmented where it stands
-                return Branch(b"", b"", frozenset(), stretch)
+                return Branch(b"", b"", NONE, stretch)
             else:
-                own = self._branch(stretch, frozenset(), 0)
+                own = self._branch(stretch, NONE, 0)
         self.known[part] = own
         return own
 
-    def _child(self, parent: Branch, at: int, done: int) -> Branch:
-        """The branch behind the skip of the ``at``-th merge of ``parent``; ``done`` merges were taken before it."""
-        if parent.children is None:
-            parent.children = {}
-        own = parent.children.get(at)
+    def _child(self, parent: Branch, at: int, done: int, key: int) -> Branch:
+        """The branch behind the skip of the ``at``-th merge of ``parent``; ``done`` merges were taken before it.
+
+        A stray gets a branch of its own that is not remembered and has nothing left to test.
+        """
+        own = parent.children.get(at) if parent.children else None
         if own is None:
+            if parent.strays < STRAYS:
+                parent.strays += 1
+                pieces = self._pieces(parent.stretch, NONE, [], key, self.limit)
+                return Branch(self._written(pieces), b"", NONE, parent.stretch)
+            if parent.children is None:
+                parent.children = {}
             place, rank = array("Q", parent.taken[16 * at:16 * at + 16])
             own = parent.children[at] = self._branch(parent.stretch, parent.skipped | {(place, rank)}, done)
         return own
@@ -241,8 +259,8 @@ class Segmenter:
             merge = hits[first] - starts[who]
             at = at[who]
             done[at] += merge
-            for i, k, n in zip(at.tolist(), merge.tolist(), done[at].tolist()):
-                parts[i] = self._child(parts[i], k, n)
+            for i, k, n, key in zip(at.tolist(), merge.tolist(), done[at].tolist(), keys[at].tolist()):
+                parts[i] = self._child(parts[i], k, n, key)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids stand for, without the space put before it."""

@@ -163,8 +163,9 @@ def test_merge_dropout_forgets_and_has_no_length_rule(monkeypatch):
     path = tokenizer_path(merge_dropout.VOCABULARY)
     text = ("understanding the international " * 40 + "x" * 60 + " end.").strip()
     want = merge_dropout.Segmenter(path, 0.1, 42).encode(text, 3).tolist()
-    for short in (0, 5, 200):
+    for short, strays in ((0, 8), (5, 0), (48, 0), (200, 2)):
         monkeypatch.setattr(merge_dropout, "SHORT", short)
+        monkeypatch.setattr(merge_dropout, "STRAYS", strays)
         assert merge_dropout.Segmenter(path, 0.1, 42).encode(text, 3).tolist() == want
     monkeypatch.setattr(merge_dropout, "REMEMBERED", 2)
     own = merge_dropout.Segmenter(path, 0.1, 42)
