@@ -82,8 +82,11 @@ def grade_compatible(supplier_edges: DataFrame, port_edges: DataFrame, refinery_
         .groupBy(*port, "api_gravity").agg(F.min("sulfur_pct").alias("sulfur_pct"))
     rows = refinery_edges.select("network_id", "port", "refinery").join(
         refineries.select("network_id", "refinery", *window), ["network_id", "refinery"])
-    bands = rows.filter("api_gravity_min <= api_gravity_max").select(*port, *window).distinct().withColumn(
-        "band", F.explode(F.sequence(F.floor("api_gravity_min"), F.floor("api_gravity_max"))))
+    # A window open to one side has bands only as far as crudes of the port occur.
+    span = at_port.groupBy(*port).agg(F.floor(F.min("api_gravity")).alias("low"), F.floor(F.max("api_gravity")).alias("high"))
+    bands = rows.filter("api_gravity_min <= api_gravity_max").select(*port, *window).distinct().join(span, port).withColumns({
+        "low": F.greatest("low", F.floor("api_gravity_min")), "high": F.least("high", F.floor("api_gravity_max"))}) \
+        .filter("low <= high").withColumn("band", F.explode(F.sequence("low", "high"))).drop("low", "high")
     # At one gravity the least sulfur decides whether any crude fits.
     fits = at_port.withColumn("band", F.floor("api_gravity")).join(bands, [*port, "band"]).filter(
         "api_gravity BETWEEN api_gravity_min AND api_gravity_max AND sulfur_pct <= sulfur_tolerance") \

@@ -29,8 +29,11 @@ def fleet_compatibility(alternatives: DataFrame, refineries: DataFrame, decimals
     """
     grades = alternatives.select("api_gravity", "sulfur_pct").distinct()
     windows = refineries.groupBy("api_gravity_min", "api_gravity_max", "sulfur_tolerance").agg(F.sum("capacity_mbd").alias("cap"))
-    banded = windows.filter("api_gravity_min <= api_gravity_max").withColumn(
-        "band", F.explode(F.sequence(F.floor("api_gravity_min"), F.floor("api_gravity_max"))))
+    # A window open to one side has bands only as far as grades occur.
+    span = grades.agg(F.floor(F.min("api_gravity")).alias("low"), F.floor(F.max("api_gravity")).alias("high"))  # one row
+    banded = windows.filter("api_gravity_min <= api_gravity_max").join(F.broadcast(span)).withColumns({
+        "low": F.greatest("low", F.floor("api_gravity_min")), "high": F.least("high", F.floor("api_gravity_max"))}) \
+        .filter("low <= high").withColumn("band", F.explode(F.sequence("low", "high")))
     fits = (
         grades.withColumn("band", F.floor("api_gravity")).join(banded, "band")
         .filter("api_gravity BETWEEN api_gravity_min AND api_gravity_max AND sulfur_pct <= sulfur_tolerance")

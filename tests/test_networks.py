@@ -272,3 +272,21 @@ def test_trigger_order_and_strictness(spark):
     out = {r.network_id: r for r in C.triggered(C.check_threshold(rows, base)).collect()}
     assert out["n"].triggered == ["b", "c"] and out["n"].triggered_corridor == "b"  # bars are strict
     assert not out["z"].threshold_crossed and out["z"].reason == "no corridor crossed either clause"
+
+
+def test_open_gravity_windows_have_no_bands_beyond_the_crudes(spark):
+    """Windows of a million million degrees, none at all, and inverted ones."""
+    windows = [("r0", -1e12, 1e12, 2.0, 3.0), ("r1", 31.5, 1e12, 2.0, 1.0), ("r2", -1e12, 10.0, 9.0, 4.0), ("r3", 40.0, 20.0, 9.0, 2.0), ("r4", None, 50.0, 9.0, 1.0)]
+    refineries = spark.createDataFrame([("n", *w) for w in windows],
+                                       "network_id string, refinery string, api_gravity_min double, api_gravity_max double, sulfur_tolerance double, capacity_mbd double")
+    grades = [(30.5, 1.0), (31.4, 3.0), (31.5, 2.0), (None, 1.0)]
+    total = sum(w[4] for w in windows)
+    fit = lambda g, w: g[0] is not None and w[1] is not None and w[1] <= g[0] <= w[2] and g[1] <= w[3]
+    got = R.fleet_compatibility(spark.createDataFrame(grades, "api_gravity double, sulfur_pct double"), refineries).collect()
+    assert {(r.api_gravity, r.sulfur_pct): r.compat for r in got if r.api_gravity} == pytest.approx(
+        {g: sum(w[4] for w in windows if fit(g, w)) / total for g in grades if g[0]})
+    crude = spark.createDataFrame([("n", "c", *g) for g in grades], "network_id string, corridor string, api_gravity double, sulfur_pct double")
+    ports = spark.createDataFrame([("n", "c", "p")], "network_id string, corridor string, port string")
+    feeds = spark.createDataFrame([("n", "p", w[0]) for w in windows] + [("n", "dry", "r3")], "network_id string, port string, refinery string")
+    out = {(r.port, r.refinery): r.grade_compatible for r in N.grade_compatible(crude, ports, feeds, refineries).collect()}
+    assert out == {**{("p", w[0]): any(fit(g, w) for g in grades) for w in windows}, ("dry", "r3"): True}
