@@ -25,10 +25,12 @@ ROUNDS = 2
 MANY = 10_000
 #: Added to each expected count.
 SMOOTHING = 0.01
-#: Words are cut into stretches of this many characters, which keeps products within double precision.
-STRETCH = 31
+#: Products of probabilities stay above this power of e, so that doubles hold them; longer words are summed in logarithms.
+LEAST_EXPONENT = -690.0
+#: Letters of long words that are summed side by side.
+SIDE_BY_SIDE = 1 << 16
 UNDETERMINED = "und"
-#: Distinct words whose likelihoods a worker keeps at a time; it starts anew beyond that.
+#: Distinct words, and ten times as many letters of theirs, whose likelihoods a worker keeps at a time; it starts anew beyond that.
 REMEMBERED = 300_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -48,9 +50,8 @@ def load_pieces(path: str) -> tuple[dict[str, int], int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of letters, the longest ones in stretches."""
-    words = LETTERS.findall((text or "").lower())
-    return [w[i:i + STRETCH] for w in words for i in range(0, len(w), STRETCH)] if any(len(w) > STRETCH for w in words) else words
+    """Lower-case runs of letters, of any length."""
+    return LETTERS.findall((text or "").lower())
 
 
 def lattice(words: list[str], pieces: dict[str, int], longest: int) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -79,24 +80,99 @@ def forward(spans: list[tuple[int, int]], at: np.ndarray, prob) -> list[np.ndarr
     return alpha
 
 
+def longest_product(table: np.ndarray) -> int:
+    """Letters up to which a word's segmentations are summed as products: even its least likely one stays within doubles."""
+    least = table[:-1].min() if table.size else 1.0
+    return int(LEAST_EXPONENT / np.log(least)) - 1 if least < 1 else 1 << 30
+
+
+def _ids_at(marked: str, j: int, pieces: dict[str, int], longest: int) -> list[int]:
+    """The pieces that end before place ``j``, longest first, -1 where the vocabulary has none or the word begins later."""
+    get = pieces.get
+    return [-1] * (longest - j) + [get(marked[i:j], -1) for i in range(max(0, j - longest), j - 1)] + [get(marked[j - 1], pieces[""])]
+
+
+def log_forward(words: list[str], logs: np.ndarray, pieces: dict[str, int], longest: int) -> np.ndarray:
+    """What ``forward`` sums, in logarithms: long words side by side, the last ``longest`` places of each held at a time."""
+    order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+    marked = [WORD_START + words[k] for k in order]
+    out, live = np.empty((len(words), logs.shape[1])), len(words)
+    window = np.full((len(words), longest, logs.shape[1]), -np.inf)
+    window[:, -1] = 0.0
+    for j in range(1, len(marked[0]) + 1):
+        ids = np.array([_ids_at(m, j, pieces, longest) for m in marked[:live]], np.int32)
+        now = np.logaddexp.reduce(window[:live] + logs[ids], axis=1)
+        window[:live, :-1] = window[:live, 1:]
+        window[:live, -1] = now
+        while live and len(marked[live - 1]) == j:
+            live -= 1
+            out[order[live]] = now[live]
+    return out
+
+
+def _blocks(words: list[str]) -> Iterable[list[str]]:
+    """Words of similar length together, about ``SIDE_BY_SIDE`` letters at a time or one word of more."""
+    block, letters = [], 0
+    for w in sorted(words, key=len):
+        if block and letters + len(w) > SIDE_BY_SIDE:
+            yield block
+            block, letters = [], 0
+        block.append(w)
+        letters += len(w)
+    if block:
+        yield block
+
+
 def log_likelihoods(words: list[str], table: np.ndarray, pieces: dict[str, int], longest: int) -> np.ndarray:
     """Log probability of each word (rows) in each language (columns). The table's last row, zero, stands for no piece."""
     out = np.empty((len(words), table.shape[1]))
     order = {w: k for k, w in enumerate(words)}
-    for group in by_length(words).values():
+    limit = longest_product(table)
+    for group in by_length(w for w in words if len(w) <= limit).values():
         for a in range(0, len(group), 20_000):
             part = group[a:a + 20_000]
             spans, at = lattice(part, pieces, longest)
             out[[order[w] for w in part]] = np.log(forward(spans, at, table.__getitem__)[-1])
+    long = [w for w in words if len(w) > limit]
+    if long:
+        with np.errstate(divide="ignore"):
+            logs = np.log(table)
+        for block in _blocks(long):
+            out[[order[w] for w in block]] = log_forward(block, logs, pieces, longest)
     return out
 
 
+def _long_counts(word: str, logs: np.ndarray, pieces: dict[str, int], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of a long word and their expected uses in one language, whose logarithms are given."""
+    marked = WORD_START + word
+    n = len(marked)
+    ids = np.array([_ids_at(marked, j, pieces, longest) for j in range(1, n + 1)], np.int32)
+    # Places before the word are filled up with minus infinity: entry k of both stands for place k - longest.
+    alpha, beta = np.full(n + longest + 1, -np.inf), np.full(n + longest + 1, -np.inf)
+    alpha[longest] = beta[n + longest] = 0.0
+    for j in range(1, n + 1):
+        alpha[j + longest] = np.logaddexp.reduce(alpha[j:j + longest] + logs[ids[j - 1]])
+    for j in range(n, 0, -1):
+        beta[j:j + longest] = np.logaddexp(beta[j:j + longest], logs[ids[j - 1]] + beta[j + longest])
+    starts = np.arange(n)[:, None] + np.arange(1, longest + 1)  # entries of the places at which the pieces begin
+    uses = np.exp(alpha[starts] + logs[ids] + beta[longest + 1:, None] - alpha[-1])
+    used = ids >= 0
+    return ids[used], uses[used]
+
+
 def expected_counts(langs: np.ndarray, words: list[str], counts: np.ndarray, table: np.ndarray, pieces, longest) -> np.ndarray:
     """Expected uses of each piece in each language, over all segmentations of the words, by a forward and a backward pass."""
     total = np.zeros_like(table)
     where: dict[int, list[int]] = {}
+    limit = longest_product(table)
+    with np.errstate(divide="ignore"):
+        logs = np.log(table)
     for k, w in enumerate(words):
-        where.setdefault(len(w), []).append(k)
+        if len(w) > limit:
+            ids, uses = _long_counts(w, logs[:, langs[k]], pieces, longest)
+            np.add.at(total, (ids, langs[k]), counts[k] * uses)
+        else:
+            where.setdefault(len(w), []).append(k)
     for rows in where.values():
         spans, at = lattice([words[k] for k in rows], pieces, longest)
         lang = langs[rows]
@@ -172,24 +248,26 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
 _known: dict[str, int] = {}
 _values = [np.empty((0, 0))]
 _owner = [None]
+_letters = [0]
 
 
 def _forget() -> None:
     _known.clear()
-    _owner[0], _values[0] = None, np.empty((0, 0))
+    _owner[0], _values[0], _letters[0] = None, np.empty((0, 0)), 0
 
 
 def _scores(texts: list, model_id: int, model: LanguageModel) -> tuple[list[str], list[float]]:
     """Language and posterior probability (equal priors) of each text."""
     pieces, longest = load_pieces(model.path)
     split = [words_of(t) for t in texts]
-    if _owner[0] != model_id or len(_known) > REMEMBERED:
-        _known.clear()
+    if _owner[0] != model_id or len(_known) > REMEMBERED or _letters[0] > 10 * REMEMBERED:
+        _forget()
         _owner[0], _values[0] = model_id, np.empty((0, len(model.languages)))
     new = list({w for ws in split for w in ws if w not in _known})
     if new:
         _values[0] = np.vstack([_values[0], log_likelihoods(new, model.table, pieces, longest)])
         _known.update(zip(new, range(len(_known), len(_known) + len(new))))
+        _letters[0] += sum(map(len, new))
     langs, scores, place = [], [], _known.__getitem__
     for ws in split:
         if not model.languages or not any(c.isalpha() for w in ws for c in w):  # figures like "½" are no letters

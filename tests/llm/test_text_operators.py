@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -112,6 +113,40 @@ def test_forward_sums_all_segmentations():
         assert counts[k][0] == pytest.approx(2 * sum(p for w, p in ways.items() if k in w) / sum(ways.values()))
 
 
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    import time
+
+    pieces, longest = language_id.load_pieces(language_id.tokenizer_path(language_id.VOCABULARY))
+    rng = np.random.default_rng(5)
+    table = np.vstack([rng.dirichlet(np.full(pieces[""] + 1, .3), 3).T + 1e-11, np.zeros((1, 3))])
+    words = ["a", "haus", "xylophon", "donaudampfschifffahrt", "ßæ", "internationalisation"]
+    langs, counts = np.array([0, 1, 2, 0, 1, 2]), np.arange(1.0, 7.0)
+    want = language_id.log_likelihoods(words, table, pieces, longest)
+    uses = language_id.expected_counts(langs, words, counts, table, pieces, longest)
+    with monkeypatch.context() as m:
+        m.setattr(language_id, "LEAST_EXPONENT", -1.0)  # all words the other way
+        m.setattr(language_id, "SIDE_BY_SIDE", 24)
+        assert language_id.log_likelihoods(words, table, pieces, longest) == pytest.approx(want)
+        assert language_id.expected_counts(langs, words, counts, table, pieces, longest) == pytest.approx(uses)
+    # A long word against plain sums in which the largest addend is taken out.
+    word = "rindfleischetikettierungsueberwachungsaufgabe" * 40
+    marked, logs = language_id.WORD_START + word, [0.0]
+    for j in range(1, len(marked) + 1):
+        found = [(i, pieces.get(marked[i:j], pieces[""] if j - i == 1 else -1)) for i in range(max(0, j - longest), j)]
+        parts = [logs[i] + np.log(table[k, 1]) for i, k in found if k >= 0]
+        logs.append(max(parts) + np.log(sum(np.exp(x - max(parts)) for x in parts)))
+    assert language_id.log_likelihoods([word], table, pieces, longest)[0, 1] == pytest.approx(logs[-1])
+    # Each segmentation covers the word once, so expected uses times lengths give its length.
+    total = language_id.expected_counts(np.array([1]), [word], np.array([1.0]), table, pieces, longest)[:, 1]
+    lengths = np.ones(len(total))
+    for piece, k in pieces.items():
+        lengths[k] = max(1, len(piece))
+    assert total @ lengths == pytest.approx(len(marked))
+    began = time.time()
+    assert np.isfinite(language_id.log_likelihoods(["z" * 200_000], table, pieces, longest)).all()
+    assert time.time() - began < 20
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.filter(~language_id.held_out()), per_language=60)
