@@ -1,121 +1,103 @@
-"""Betweenness on layered networks by path counting.
+"""Betweenness on layered networks: counts of shortest paths forwards, their dependencies backwards, layer by layer.
 
-Every path crosses corridor and port, so the pair (supplier, refinery) matters only through how
-far each lies from its corridors and ports. Suppliers with the same relative distances form one
-class with a multiplicity, refineries likewise; shortest paths are counted between classes, not
-between all pairs. Weighted distance of an edge is 1 / max(capacity, 1e-9).
+A start carries its distance and number of shortest paths from layer to layer, as rows (start, node). Back from the sink,
+each node passes to those before it their part of the paths that go through it. No row ever names a way or a pair of ends:
+the largest table has one row per start and edge. Suppliers whose corridors lie equally far from them, apart from a
+constant, are one start with a multiplicity. Weighted distance of an edge is 1 / max(capacity, 1e-9).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from straitline import constants as K
 from straitline.session import checkpointed
 
 _TIE = 1e-9
+_START = ["network_id", "start"]
 
 
-def _nearest(df: DataFrame, by: list[str]) -> DataFrame:
-    """Shortest distance and number of ties per group of (dist, paths) rows."""
-    least = df.groupBy(*by).agg(F.min("dist").alias("least"))
-    tight = df.join(least, by).filter(F.col("dist") <= F.col("least") + _TIE)
-    return tight.groupBy(*by).agg(F.min("dist").alias("dist"), F.sum("paths").alias("paths"))
+def _tight(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """(network_id, start, mult, src, src_paths, dst, dist): the edges on shortest paths of each start."""
+    steps = reached.join(edges, ["network_id", "src"]).select(
+        *_START, "mult", "src", F.col("paths").alias("src_paths"), "dst", (F.col("dist") + F.col("length")).alias("dist"))
+    least = steps.groupBy(*_START, "dst").agg(F.min("dist").alias("least"))
+    # Read on the way there, on the way back and for the shares.
+    return checkpointed(steps.join(least, [*_START, "dst"]).filter(F.col("dist") <= F.col("least") + _TIE).drop("least"))
 
 
-def _classes(links: DataFrame, node: str, via: str) -> DataFrame:
-    """(network_id, end, via, dist, paths, mult): nodes with equal relative distances as one class.
+def _reached(tight: DataFrame) -> DataFrame:
+    """The nodes that the edges lead to, with distance and number of shortest paths."""
+    return tight.groupBy(*_START, F.col("dst").alias("src")).agg(
+        F.first("mult").alias("mult"), F.min("dist").alias("dist"), F.sum("src_paths").alias("paths"))
 
-    A node has at most as many entries as there are corridors (or ports) it touches.
-    """
-    profile = links.groupBy("network_id", node).agg(
-        F.min("dist").alias("least"), F.sort_array(F.collect_list(F.struct(F.col(via).alias("via"), "dist"))).alias("entries"))
-    shape = F.transform("entries", lambda e: F.struct(e["via"].alias("via"), F.round(e["dist"] - F.col("least"), 9).alias("dist")))
+
+def _begins(nodes: DataFrame, kind: str) -> DataFrame:
+    """Each node as a start of its own."""
+    return nodes.select("network_id", F.concat(F.lit(f"{kind}:"), "src").alias("start"), "src", F.lit(1).cast("long").alias("mult"),
+                        F.lit(0.0).alias("dist"), F.lit(1.0).alias("paths"))
+
+
+def _supplier_classes(links: DataFrame) -> DataFrame:
+    """Suppliers with equal relative distances as one start, at the corridors they touch."""
+    profile = links.groupBy("network_id", "src").agg(
+        F.min("length").alias("least"), F.sort_array(F.collect_list(F.struct("dst", "length"))).alias("entries"))  # the corridors of a node
+    shape = F.transform("entries", lambda e: F.struct(e["dst"].alias("src"), F.round(e["length"] - F.col("least"), 9).alias("dist")))
     classes = profile.select("network_id", shape.alias("shape")).groupBy("network_id", "shape").agg(F.count("*").alias("mult"))
-    return classes.select(
-        "network_id", F.concat(F.lit("class:"), F.to_json("shape")).alias("end"), "mult", F.inline("shape")
-    ).select("network_id", "end", "via", "dist", F.lit(1.0).alias("paths"), "mult")
+    return classes.select("network_id", F.concat(F.lit("class:"), F.to_json("shape")).alias("start"), "mult", F.inline("shape")).select(
+        "network_id", "start", "src", "mult", "dist", F.lit(1.0).alias("paths"))
+
+
+def _passed_back(tight: DataFrame, ahead: DataFrame | None) -> DataFrame:
+    """What the starts of paths through ``src`` depend on it, given (network_id, start, src, depends) one layer ahead.
+
+    A node's own path counts once and what lies behind it ``depends`` times; both are shared out among the edges on shortest
+    paths to it by the number of paths that take them.
+    """
+    counts = tight.groupBy(*_START, "dst").agg(F.sum("src_paths").alias("dst_paths"))
+    if ahead is None:
+        counts = counts.withColumn("depends", F.lit(0.0))
+    else:
+        counts = counts.join(ahead.select(*_START, F.col("src").alias("dst"), "depends"), [*_START, "dst"], "left")
+    return tight.join(counts, [*_START, "dst"]).groupBy(*_START, "src").agg(
+        F.first("mult").alias("mult"), F.sum(F.col("src_paths") / F.col("dst_paths") * (1.0 + F.coalesce("depends", F.lit(0.0)))).alias("depends"))
 
 
 def betweenness(edges: DataFrame, weight: str | None = None) -> DataFrame:
     """(network_id, layer, node, centrality) of every node, divided by (n-1)(n-2).
 
-    ``weight`` names a capacity column; without it every edge has length one.
+    ``weight`` names a capacity column; without it every edge has length one. Networks are read once.
     """
     length = F.lit(1.0) if weight is None else 1.0 / F.greatest(F.col(weight), F.lit(K.CAPACITY_EPS))
-    links = edges.select("network_id", "layer", "src", "dst", length.alias("dist"), F.lit(1.0).alias("paths"))
-    layer = lambda n: links.filter(F.col("layer") == n)
-    c_of_s = layer(1).select("network_id", F.col("src").alias("supplier"), F.col("dst").alias("corridor"), "dist")
-    r_of_p = layer(3).select("network_id", F.col("dst").alias("refinery"), F.col("src").alias("port"), "dist")
-    core = layer(2).select("network_id", F.col("src").alias("c"), F.col("dst").alias("p"), F.col("dist").alias("core_dist"))
-
-    # From the source to each corridor, and which suppliers lie on those shortest paths.
-    into = layer(0).select("network_id", F.col("dst").alias("supplier"), F.col("dist").alias("first")).join(
-        c_of_s, ["network_id", "supplier"]).select(
-            "network_id", "supplier", "corridor", (F.col("first") + F.col("dist")).alias("dist"), F.lit(1.0).alias("paths"))
-    source = checkpointed(_nearest(into, ["network_id", "corridor"]))
-    out = layer(4).select("network_id", F.col("src").alias("refinery"), F.col("dist").alias("last")).join(
-        r_of_p, ["network_id", "refinery"]).select(
-            "network_id", "refinery", "port", (F.col("last") + F.col("dist")).alias("dist"), F.lit(1.0).alias("paths"))
-    sink = checkpointed(_nearest(out, ["network_id", "port"]))
-
-    one = F.lit(1).cast("long")
-    corridors = core.select("network_id", "c").distinct()
-    ports = core.select("network_id", "p").distinct()
-    ends = lambda df, end, via: df.select(
-        "network_id", end.alias("end"), via.alias("via"), F.lit(0.0).alias("dist"), F.lit(1.0).alias("paths"), one.alias("mult"))
-    left = (
-        _classes(c_of_s, "supplier", "corridor")
-        .unionByName(source.select("network_id", F.lit("source").alias("end"), F.col("corridor").alias("via"), "dist", "paths", one.alias("mult")))
-        .unionByName(ends(corridors, F.concat(F.lit("corridor:"), F.col("c")), F.col("c")))
-    )
-    right = (
-        _classes(r_of_p, "refinery", "port")
-        .unionByName(sink.select("network_id", F.lit("sink").alias("end"), F.col("port").alias("via"), "dist", "paths", one.alias("mult")))
-        .unionByName(ends(ports, F.concat(F.lit("port:"), F.col("p")), F.col("p")))
-    )
-    a = left.select("network_id", F.col("end").alias("u"), F.col("via").alias("c"), F.col("dist").alias("a_dist"),
-                    F.col("paths").alias("a_paths"), F.col("mult").alias("u_mult"))
-    b = right.select("network_id", F.col("end").alias("w"), F.col("via").alias("p"), F.col("dist").alias("b_dist"),
-                     F.col("paths").alias("b_paths"), F.col("mult").alias("w_mult"))
-    ways = checkpointed(a.join(core, ["network_id", "c"]).join(b, ["network_id", "p"]).withColumn(
-        "dist", F.col("a_dist") + F.col("core_dist") + F.col("b_dist")))
-    least = ways.groupBy("network_id", "u", "w").agg(F.min("dist").alias("least"))
-    tight = ways.join(least, ["network_id", "u", "w"]).filter(F.col("dist") <= F.col("least") + _TIE).withColumn(
-        "n", F.col("a_paths") * F.col("b_paths"))
-    totals = tight.groupBy("network_id", "u", "w").agg(F.sum("n").alias("total"))
-    # Read for corridors and for ports.
-    shares = checkpointed(tight.join(totals, ["network_id", "u", "w"]).select(
-        "network_id", "u", "w", "c", "p", "u_mult", "w_mult", (F.col("n") / F.col("total")).alias("share")))
-
-    weighted = F.col("share") * F.col("u_mult") * F.col("w_mult")
-    corridor_b = shares.filter(~F.col("u").startswith("corridor:")).groupBy("network_id", F.col("c").alias("node")).agg(
-        F.sum(weighted).alias("b"), F.sum(F.when(F.col("u") == "source", weighted)).alias("from_source"))
-    # Shortest paths between a corridor and a port never pass a third corridor or port.
-    port_b = shares.filter(~F.col("w").startswith("port:")).groupBy("network_id", F.col("p").alias("node")).agg(
-        F.sum(weighted).alias("b"), F.sum(F.when(F.col("w") == "sink", weighted)).alias("to_sink"))
-
-    # A supplier carries, for each corridor it is nearest to the source for, its part of the source's paths.
-    on_path = into.withColumnRenamed("dist", "d").join(
-        source.select("network_id", "corridor", F.col("dist").alias("least"), F.col("paths").alias("ties")), ["network_id", "corridor"]).filter(
-            F.col("d") <= F.col("least") + _TIE)
-    supplier_b = on_path.join(corridor_b.select("network_id", F.col("node").alias("corridor"), "from_source"), ["network_id", "corridor"], "left") \
-        .groupBy("network_id", F.col("supplier").alias("node")).agg(
-            F.sum((F.coalesce("from_source", F.lit(0.0)) + 1.0) / F.col("ties")).alias("b"))
-    on_exit = out.withColumnRenamed("dist", "d").join(
-        sink.select("network_id", "port", F.col("dist").alias("least"), F.col("paths").alias("ties")), ["network_id", "port"]).filter(
-            F.col("d") <= F.col("least") + _TIE)
-    refinery_b = on_exit.join(port_b.select("network_id", F.col("node").alias("port"), "to_sink"), ["network_id", "port"], "left") \
-        .groupBy("network_id", F.col("refinery").alias("node")).agg(
-            F.sum((F.coalesce("to_sink", F.lit(0.0)) + 1.0) / F.col("ties")).alias("b"))
-
-    nodes = links.select("network_id", F.col("layer").alias("layer"), F.col("src").alias("node")).unionByName(
-        links.select("network_id", (F.col("layer") + 1).alias("layer"), F.col("dst").alias("node"))).distinct()
-    size = nodes.groupBy("network_id").agg(F.count("*").alias("n"))
+    links = checkpointed(edges.select("network_id", "layer", "src", "dst", length.alias("length")))
+    layer = lambda n: links.filter(F.col("layer") == n).drop("layer")
+
+    # From the source all suppliers are reached at once; the starts behind them join in layer by layer.
+    source = layer(0).select("network_id", F.lit("source").alias("start"), F.col("dst").alias("src"), F.lit(1).cast("long").alias("mult"),
+                             F.col("length").alias("dist"), F.lit(1.0).alias("paths"))
+    to_corridors = _tight(source, layer(1))
+    at_corridors = _reached(to_corridors).unionByName(_supplier_classes(layer(1))).unionByName(
+        _begins(layer(2).select("network_id", "src").distinct(), "corridor"))
+    to_ports = _tight(at_corridors, layer(2))
+    at_ports = _reached(to_ports).unionByName(_begins(layer(3).select("network_id", "src").distinct(), "port"))
+    to_refineries = _tight(at_ports, layer(3))
+    to_sink = _tight(_reached(to_refineries), layer(4))
+
+    refineries = _passed_back(to_sink, None)
+    ports = _passed_back(to_refineries, refineries)
+    corridors = _passed_back(to_ports, ports)
+    suppliers = _passed_back(to_corridors, corridors)
+
+    # A start is not passed by its own paths.
     found = None
-    for number, part in ((1, supplier_b), (2, corridor_b), (3, port_b), (4, refinery_b)):
-        rows = part.select("network_id", F.lit(number).alias("layer"), "node", "b")
+    for number, part, own in ((1, suppliers, None), (2, corridors, "corridor:"), (3, ports, "port:"), (4, refineries, None)):
+        passed = part if own is None else part.filter(~F.col("start").startswith(own))
+        rows = passed.groupBy("network_id", F.col("src").alias("node")).agg(F.sum(F.col("mult") * F.col("depends")).alias("b")) \
+            .withColumn("layer", F.lit(number))
         found = rows if found is None else found.unionByName(rows)
+    nodes = links.select("network_id", "layer", F.col("src").alias("node")).unionByName(
+        links.select("network_id", (F.col("layer") + 1).alias("layer"), F.col("dst").alias("node"))).distinct()
+    size = nodes.groupBy("network_id").agg(F.count("*").alias("n"))
     scale = (F.col("n") - 1.0) * (F.col("n") - 2.0)
     return nodes.join(found, ["network_id", "layer", "node"], "left").join(size, "network_id").select(
         "network_id", "layer", "node", (F.coalesce("b", F.lit(0.0)) / scale).alias("centrality"))
