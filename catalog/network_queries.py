@@ -17,6 +17,7 @@ from straitline.operators import scoring as S
 from straitline.operators.centrality import betweenness
 from straitline.operators.flow import flow_by_scenario, flow_value, sink_inflow
 from straitline.plans.response import response_plan
+from straitline.session import checkpointed
 
 # --- structure ------------------------------------------------------------------------
 
@@ -384,7 +385,7 @@ USED = RANKED + ", used AS (SELECT * FROM ranked WHERE cum - vol < gap - 1e-9)"
 SELECT id AS disruption_id, t AS transit_days, coalesce(n, 0) AS alternatives_used, coalesce(v, 0) AS covered, greatest(CAST(0 AS DOUBLE), gap - coalesce(v, 0)) AS residual_gap, coalesce(v, 0) >= gap - 1e-9 AS covers_gap FROM dis LEFT JOIN u USING (id)""")
 def replacement_timeline(spark, sf):
     d = disruptions(spark, sf)
-    return R.replacement_timeline(d, R.rank_alternatives(d, alternatives(spark, sf), fleet(spark, sf)))
+    return R.prefix_timeline(R.procured(d, R.rank_cases(d, alternatives(spark, sf), fleet(spark, sf))))
 
 
 DAILY = USED + """, g AS (SELECT id, gap, unnest(range(days)) AS day FROM dis),
@@ -394,7 +395,8 @@ daily AS (SELECT g.id, g.day, greatest(CAST(0 AS DOUBLE), g.gap - coalesce((SELE
 @query("daily_gaps", f"WITH {DAILY} SELECT id AS disruption_id, day, round(gap, 6) AS gap FROM daily")
 def daily_gaps(spark, sf):
     d = disruptions(spark, sf)
-    return R.daily_gap(d, R.rank_alternatives(d, alternatives(spark, sf), fleet(spark, sf))).withColumn("gap", r6("gap"))
+    cases = checkpointed(R.rank_cases(d, alternatives(spark, sf), fleet(spark, sf)))  # read for the prefixes and for the days
+    return R.prefix_daily_gap(R.procured(d, cases), cases).withColumn("gap", r6("gap"))
 
 
 def order_gaps(spark, sf):

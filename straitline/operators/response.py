@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from straitline import constants as K
-from straitline.operators.ordered import running_sums
+from straitline.operators.ordered import last_reached, running_sums, running_values
 
 _EPS = 1e-9
 _ID = "disruption_id"
@@ -96,13 +96,46 @@ def score_alternatives(disruptions: DataFrame, alternatives: DataFrame, refineri
 
 
 def rank_cases(disruptions: DataFrame, alternatives: DataFrame, refineries: DataFrame, long_lists: bool = True) -> DataFrame:
-    """Scored alternatives of every case in rank order (score, then name) with running volume."""
+    """Scored alternatives of every case in rank order (score, then name) with running volume and slowest arrival so far."""
     scored = score_alternatives(disruptions, alternatives, refineries).withColumn("_one", F.lit(1))
-    return running_sums(scored, _CASE, [F.desc("score"), F.col("name")],
-                        {"place": "_one", "cumulative_coverage": "max_incremental_mbd"}, long_lists).drop("_one")
+    return running_values(scored, _CASE, [F.desc("score"), F.col("name")],
+                          {"place": "_one", "cumulative_coverage": "max_incremental_mbd"}, {"slowest_days": "transit_days"}, long_lists).drop("_one")
 
 
-def _per_disruption(disruptions: DataFrame, ranked_cases: DataFrame) -> DataFrame:
+def procured(disruptions: DataFrame, ranked_cases: DataFrame) -> DataFrame:
+    """Disruptions with the place, volume and slowest arrival at which their case's list (``rank_cases``) covers the gap.
+
+    A disruption is answered by a prefix of its case's list: all alternatives before which the gap is still open. Its end is
+    looked up in the running volumes, so that no disruption ever meets the alternatives one by one. Volumes are at least 0.
+    """
+    index = ranked_cases.withColumn("before", F.col("cumulative_coverage") - F.col("max_incremental_mbd"))
+    asked = disruptions.withColumn("include_sanctioned", F.coalesce("include_sanctioned", F.lit(False))).withColumn("_open", F.col("gap") - _EPS)
+    return last_reached(index, asked, _CASE, "before", "_open", ["place", "cumulative_coverage", "slowest_days"], strict=True).drop("_open")
+
+
+def prefix_timeline(procured_rows: DataFrame) -> DataFrame:
+    """What ``replacement_timeline`` gives, from the ends of the prefixes (``procured``)."""
+    covered = F.coalesce("cumulative_coverage", F.lit(0.0))
+    return procured_rows.select(
+        _ID, F.col("slowest_days").alias("transit_days"), F.coalesce(F.col("place").cast("long"), F.lit(0)).alias("alternatives_used"),
+        covered.alias("covered"), F.greatest(F.lit(0.0), F.col("gap") - covered).alias("residual_gap"),
+        (covered >= F.col("gap") - _EPS).alias("covers_gap"))
+
+
+def prefix_daily_gap(procured_rows: DataFrame, ranked_cases: DataFrame) -> DataFrame:
+    """What ``daily_gap`` gives, from the ends of the prefixes: what landed on a day is looked up in running volumes by day of arrival."""
+    by_day = running_sums(
+        ranked_cases.select(*_CASE, "place", F.greatest(F.lit(0), F.col("transit_days")).cast("int").alias("day"), "max_incremental_mbd"),
+        [*_CASE, "day"], [F.col("place")], {"landed": "max_incremental_mbd"}).withColumnRenamed("place", "_upto")
+    grid = procured_rows.select(_ID, "gap", "place", *_CASE, F.explode(F.sequence(F.lit(0), F.col("duration_days") - 1)).alias("day")) \
+        .withColumn("place", F.coalesce("place", F.lit(0)))
+    arrived = last_reached(by_day, grid, [*_CASE, "day"], "_upto", "place", ["_upto", "landed"])
+    landed = F.coalesce(F.sum("landed").over(W.partitionBy(_ID).orderBy("day")), F.lit(0.0))
+    return arrived.select(_ID, "day", F.greatest(F.lit(0.0), F.col("gap") - landed).alias("gap"))
+
+
+def per_disruption(disruptions: DataFrame, ranked_cases: DataFrame) -> DataFrame:
+    """The list of each disruption's case, once per disruption."""
     asked = disruptions.select(_ID, "gap", *[(F.coalesce(c, F.lit(False)) if c == "include_sanctioned" else F.col(c)).alias(f"d_{c}") for c in _CASE])
     same = [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in _CASE]
     return ranked_cases.join(asked, same).drop(*[f"d_{c}" for c in _CASE])
@@ -111,7 +144,11 @@ def _per_disruption(disruptions: DataFrame, ranked_cases: DataFrame) -> DataFram
 def rank_alternatives(disruptions: DataFrame, alternatives: DataFrame, refineries: DataFrame,
                       long_lists: bool = True) -> DataFrame:
     """Every eligible alternative of every disruption in rank order, with running coverage of its gap."""
-    ranked = _per_disruption(disruptions, rank_cases(disruptions, alternatives, refineries, long_lists))
+    return with_coverage(disruptions, rank_cases(disruptions, alternatives, refineries, long_lists))
+
+
+def with_coverage(disruptions: DataFrame, ranked_cases: DataFrame) -> DataFrame:
+    ranked = per_disruption(disruptions, ranked_cases)
     pct = F.when(F.col("gap") <= _EPS, 100.0).otherwise(F.least(F.lit(100.0), F.col("cumulative_coverage") / F.col("gap") * 100.0))
     return ranked.withColumn("cumulative_coverage_pct", pct).withColumn(
         "covers_gap", F.col("cumulative_coverage") >= F.col("gap") - _EPS)

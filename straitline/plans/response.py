@@ -39,10 +39,13 @@ def response_plan(edges: DataFrame, disruptions: DataFrame, alternatives: DataFr
     gaps = checkpointed(gaps)  # every later table starts from it
     asked = gaps.select(
         F.col("scenario_id").alias("disruption_id"), "corridor", "crisis", "gap", "duration_days", "include_sanctioned")
-    ranked = checkpointed(R.rank_alternatives(asked, alternatives, refineries))
-    schedule = R.reserve_drawdown(R.daily_gap(asked, ranked))
+    cases = checkpointed(R.rank_cases(asked, alternatives, refineries))
+    # Timeline and schedule look up how far down its case's list a disruption goes; the whole lists, one per disruption, are
+    # only made if ``ranked`` is read.
+    procured = checkpointed(R.procured(asked, cases))
+    schedule = R.reserve_drawdown(R.prefix_daily_gap(procured, cases))
     return {
-        "gaps": gaps, "affected": affected, "ranked": ranked,
-        "timeline": R.replacement_timeline(asked, ranked), "schedule": schedule,
+        "gaps": gaps, "affected": affected, "ranked": R.with_coverage(asked, cases),
+        "timeline": R.prefix_timeline(procured), "schedule": schedule,
         "reserve": R.reserve_summary(schedule, asked),
     }

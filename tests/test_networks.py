@@ -265,6 +265,31 @@ def test_alternatives_and_timeline(spark):
     assert gaps[4] == 0.8 and gaps[5] == pytest.approx(0.4) and gaps[20] == 0.0
 
 
+def test_prefixes_looked_up_equal_lists_read_through(spark):
+    rng = random.Random(3)
+    alts = spark.createDataFrame(
+        [(f"a{i:03d}", rng.choice([-1, 0, 2, 5, 9, 14, 30]), rng.choice([1.0, 2.0, 2.5]), 32.0, 1.0, i % 5 == 0, rng.sample(["H", "C"], i % 2), rng.choice([0.0, 0.25, 0.5, 1.0]))
+         for i in range(120)],
+        "name string, transit_days int, price_premium_usd double, api_gravity double, sulfur_pct double, sanctioned boolean, transits_corridors array<string>, max_incremental_mbd double")
+    fleet = spark.createDataFrame([(1.0, 30.0, 35.0, 2.0)], "capacity_mbd double, api_gravity_min double, api_gravity_max double, sulfur_tolerance double")
+    # One case is asked by a third of all and more; gaps of nothing, on the edge of an alternative, and beyond all of them.
+    asked = spark.createDataFrame(
+        [(f"d{i}", rng.choice(["H", "H", "C", None]), rng.choice(["normal", "severe"]), rng.choice([0.0, 0.25, 0.5, 3.0, 7.75, 500.0]), rng.choice([1, 12, 40]), rng.choice([True, False, None]))
+         for i in range(150)],
+        "disruption_id string, corridor string, crisis string, gap double, duration_days int, include_sanctioned boolean")
+    ranked = R.rank_alternatives(asked, alts, fleet)
+    cases = R.rank_cases(asked, alts, fleet)
+    got = R.procured(asked, cases)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(R.prefix_timeline(got).fillna(-9)) == rows(R.replacement_timeline(asked, ranked).fillna(-9))
+    assert rows(R.prefix_daily_gap(got, cases)) == rows(R.daily_gap(asked, ranked))
+    # No join of disruptions and alternatives: each side is read as it is, and the lookups keep the number of disruptions.
+    assert got.count() == 150
+    none = alts.filter("false")
+    assert {r.alternatives_used for r in R.prefix_timeline(R.procured(asked, R.rank_cases(asked, none, fleet))).collect()} == {0}
+    assert R.prefix_timeline(R.procured(asked.filter("false"), cases)).count() == 0
+
+
 def test_trigger_order_and_strictness(spark):
     rows = spark.createDataFrame([("n", "a", 0.15, 0.75), ("n", "b", 0.5, 0.1), ("n", "c", 0.01, 0.9), ("z", "a", 0.0, 0.1)],
                                  "network_id string, corridor string, capacity_loss double, live_risk_score double")
