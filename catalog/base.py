@@ -232,10 +232,10 @@ def disruptions(spark, sf_dir) -> DataFrame:
 DIS = """dis AS (SELECT c_mktsegment || '/' || r_name AS id, r_name AS c, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'severe' ELSE 'normal' END AS crisis,
   (count(*) % 97) / CAST(4 AS DOUBLE) AS gap, CAST(count(*) % 20 + 10 AS INTEGER) AS days, count(*) % 2 = 0 AS sanc
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY c_mktsegment, r_name)"""
-RANKED = ALT + ", " + DIS + """,
-elig AS (SELECT id, crisis, gap, days, name, premium, transit, vol, compat FROM dis JOIN alt ON alt.transits <> dis.c AND (sanc OR NOT sanctioned) JOIN compat USING (api, sulfur)),
+LISTS = """elig AS (SELECT id, crisis, gap, days, name, premium, transit, vol, compat FROM dis JOIN alt ON alt.transits <> dis.c AND (sanc OR NOT sanctioned) JOIN compat USING (api, sulfur)),
 bnd AS (SELECT id, min(premium) AS p0, max(premium) AS p1, min(transit) AS t0, max(transit) AS t1 FROM elig GROUP BY id),
 parts AS (SELECT elig.*, CASE WHEN p1 = p0 THEN 1 ELSE 1 - (premium - p0) / (p1 - p0) END AS cost, CASE WHEN t1 = t0 THEN 1 ELSE 1 - (transit - t0) / CAST(t1 - t0 AS DOUBLE) END AS trans FROM elig JOIN bnd USING (id)),
 scored AS (SELECT *, CASE WHEN crisis = 'severe' THEN CAST(0.2 AS DOUBLE) * cost + CAST(0.55 AS DOUBLE) * trans + CAST(0.25 AS DOUBLE) * compat
   ELSE CAST(0.4 AS DOUBLE) * cost + CAST(0.35 AS DOUBLE) * trans + CAST(0.25 AS DOUBLE) * compat END AS score FROM parts),
 ranked AS (SELECT *, row_number() OVER w AS place, sum(vol) OVER (PARTITION BY id ORDER BY score DESC, name ROWS UNBOUNDED PRECEDING) AS cum FROM scored WINDOW w AS (PARTITION BY id ORDER BY score DESC, name))"""
+RANKED = f"{ALT}, {DIS}, {LISTS}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    ALT, BASE_SCEN, CUT_SCEN, DIS, NET, RANKED, RISKY, STATIC, alternatives, disruptions, fleet, flow_ctes, network,
+    ALT, BASE_SCEN, CUT_SCEN, DIS, LISTS, NET, RANKED, RISKY, STATIC, alternatives, disruptions, fleet, flow_ctes, network,
     network_parts, query, r6, region_risk, risky_network, table,
 )
 from catalog.risk_queries import _statistics
@@ -280,12 +280,16 @@ def refinery_inflow(spark, sf):
     return sink_inflow(risky_network(spark, sf)).select("network_id", "refinery", F.round("inflow", 4).alias("inflow"))
 
 
-_IMPACT = f"""{NET}, {RISKY}, {flow_ctes(BASE_SCEN + ' UNION ALL ' + SHOCKS)}, {_SPLIT},
+def impact_ctes(scenarios: str) -> str:
+    return f"""{NET}, {RISKY}, {flow_ctes(scenarios)}, {_SPLIT},
 aff AS (SELECT n.net, n.sid, n.r, b.inflow AS baseline, n.inflow AS now FROM sink n JOIN sink b ON b.net = n.net AND b.r = n.r AND b.sid = 'base' WHERE n.sid <> 'base' AND b.inflow > 0 AND n.inflow < b.inflow * CAST(0.95 AS DOUBLE)),
 imp AS (SELECT f.net, f.sid, b.flow AS base, f.flow, b.flow - f.flow AS loss, (SELECT count(*) FROM aff WHERE aff.net = f.net AND aff.sid = f.sid) AS affected,
   coalesce((SELECT sum(baseline - now) FROM aff WHERE aff.net = f.net AND aff.sid = f.sid), 0) AS shortfall FROM flows f JOIN flows b ON b.net = f.net AND b.sid = 'base' WHERE f.sid <> 'base')"""
 
 
+_IMPACT = impact_ctes(BASE_SCEN + ' UNION ALL ' + SHOCKS)
+
+
 def _impact_scenarios(spark, sf, edges):
     return edges.select("network_id").distinct().join(_region_scenarios(spark, sf))  # three networks x six scenarios
 
@@ -378,7 +382,8 @@ def ranked_alternatives(spark, sf):
     return out.select("disruption_id", "name", "place", "cumulative_coverage", r6("cumulative_coverage_pct").alias("cumulative_coverage_pct"), "covers_gap")
 
 
-USED = RANKED + ", used AS (SELECT * FROM ranked WHERE cum - vol < gap - 1e-9)"
+_USED = "used AS (SELECT * FROM ranked WHERE cum - vol < gap - 1e-9)"
+USED = f"{RANKED}, {_USED}"
 
 
 @query("replacement_timeline", f"""WITH {USED}, u AS (SELECT id, max(transit) AS t, sum(vol) AS v, count(*) AS n FROM used GROUP BY id)
@@ -388,8 +393,9 @@ def replacement_timeline(spark, sf):
     return R.prefix_timeline(R.procured(d, R.rank_cases(d, alternatives(spark, sf), fleet(spark, sf))))
 
 
-DAILY = USED + """, g AS (SELECT id, gap, unnest(range(days)) AS day FROM dis),
+_DAILY = """g AS (SELECT id, gap, unnest(range(days)) AS day FROM dis),
 daily AS (SELECT g.id, g.day, greatest(CAST(0 AS DOUBLE), g.gap - coalesce((SELECT sum(vol) FROM used u WHERE u.id = g.id AND u.transit <= g.day), 0)) AS gap FROM g)"""
+DAILY = f"{USED}, {_DAILY}"
 
 
 @query("daily_gaps", f"WITH {DAILY} SELECT id AS disruption_id, day, round(gap, 6) AS gap FROM daily")
@@ -408,15 +414,17 @@ def order_gaps(spark, sf):
     return groups.join(g, ["disruption_id", "day"], "left").select("disruption_id", "day", (F.coalesce("n", F.lit(0)) % 23 / F.lit(8.0)).alias("gap"))
 
 
-RESERVE = """g0 AS (SELECT o_custkey % 50 AS id, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 30 AS day, count(*) AS n FROM orders GROUP BY ALL),
-g1 AS (SELECT a.id, d.day, (coalesce(n, 0) % 23) / CAST(8 AS DOUBLE) AS gap FROM (SELECT DISTINCT id FROM g0) a CROSS JOIN (SELECT unnest(range(30)) AS day) d LEFT JOIN g0 ON g0.id = a.id AND g0.day = d.day),
-t AS (SELECT id, sum(gap) AS req, least(CAST(36.87 AS DOUBLE) * CAST(0.8 AS DOUBLE), sum(least(gap, 1))) AS used, sum(greatest(0, gap - 1)) AS forced, max(greatest(0, gap - 1)) AS mx FROM g1 GROUP BY id),
+_ORDER_GAPS = """g0 AS (SELECT o_custkey % 50 AS id, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 30 AS day, count(*) AS n FROM orders GROUP BY ALL),
+g1 AS (SELECT a.id, d.day, (coalesce(n, 0) % 23) / CAST(8 AS DOUBLE) AS gap FROM (SELECT DISTINCT id FROM g0) a CROSS JOIN (SELECT unnest(range(30)) AS day) d LEFT JOIN g0 ON g0.id = a.id AND g0.day = d.day)"""
+# The schedule of 30 days from g1(id, day, gap).
+_SCHEDULE = """t AS (SELECT id, sum(gap) AS req, least(CAST(36.87 AS DOUBLE) * CAST(0.8 AS DOUBLE), sum(least(gap, 1))) AS used, sum(greatest(0, gap - 1)) AS forced, max(greatest(0, gap - 1)) AS mx FROM g1 GROUP BY id),
 lv AS (SELECT id, day, gap, coalesce(sum(gap) OVER (PARTITION BY id ORDER BY gap, day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre, 31 - row_number() OVER (PARTITION BY id ORDER BY gap, day) AS remaining FROM g1),
 lw AS (SELECT id, arg_min((req - used - pre) / remaining, (gap, day)) AS w FROM lv JOIN t USING (id) WHERE pre + gap * remaining >= req - used - 1e-12 GROUP BY id),
 pk AS (SELECT t.id, req, used, forced, greatest(mx, coalesce(w, 0), 0) AS peak FROM t LEFT JOIN lw USING (id)),
 rm AS (SELECT g1.id, day, gap, greatest(0, gap - 1) AS f, least(gap, peak) - greatest(0, gap - 1) AS room, greatest(0, req - used - forced) AS pour FROM g1 JOIN pk USING (id)),
 un AS (SELECT id, day, gap, f + greatest(0, least(room, pour - coalesce(sum(room) OVER (PARTITION BY id ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS unmet FROM rm),
 sch AS (SELECT id, day, gap, greatest(0, gap - unmet) AS release, unmet, sum(greatest(0, gap - unmet)) OVER (PARTITION BY id ORDER BY day) AS released FROM un)"""
+RESERVE = f"{_ORDER_GAPS}, {_SCHEDULE}"
 
 
 @query("reserve_drawdown", f"WITH {RESERVE} SELECT id AS disruption_id, CAST(day AS INTEGER) AS day, gap, round(release, 6) AS release, round(unmet, 6) AS unmet, round(released, 6) AS released FROM sch")
@@ -433,15 +441,39 @@ def reserve_summary(spark, sf):
     return out.select("disruption_id", r6("total_released").alias("total_released"), r6("total_unmet").alias("total_unmet"), "reserve_exhausted_day", r6("days_of_cover").alias("days_of_cover"), "insufficient")
 
 
-@query("response_plans")
-def response_plans(spark, sf):
+_PLANS = f"""WITH {impact_ctes(CUT_SCEN)}, {ALT},
+dis AS (SELECT net || '/' || substr(sid, 5) AS id, substr(sid, 5) AS c, 'normal' AS crisis, greatest(CAST(0 AS DOUBLE), loss) AS gap, affected, 30 AS days, false AS sanc FROM imp),
+{LISTS}, {_USED}, {_DAILY}, g1 AS (SELECT id, day, gap FROM daily), {_SCHEDULE},
+later AS (SELECT *, max(unmet) OVER (PARTITION BY id ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM sch)"""
+
+
+def _region_plans(spark, sf):
     """Every region closed in every network, answered by the suppliers of other regions."""
     edges = risky_network(spark, sf)
     regions = table(spark, sf, "region").select(F.col("r_name").alias("corridor"))
     asked = edges.select("network_id").distinct().join(regions).select(
         F.concat_ws("/", "network_id", "corridor").alias("disruption_id"), "network_id", "corridor", F.lit(None).cast("string").alias("scenario"),
         F.lit(100.0).alias("degradation_pct"), F.lit(30).alias("duration_days"), F.lit("normal").alias("crisis"), F.lit(False).alias("include_sanctioned"))
-    plan = response_plan(edges, asked, alternatives(spark, sf), fleet(spark, sf))
+    return response_plan(edges, asked, alternatives(spark, sf), fleet(spark, sf))
+
+
+@query("response_plans", f"""{_PLANS}, u AS (SELECT id, count(*) AS n, sum(vol) AS v FROM used GROUP BY id),
+s AS (SELECT id, sum(release) AS released, CAST(min(day) FILTER (WHERE released >= CAST(36.87 AS DOUBLE) * CAST(0.8 AS DOUBLE) - 1e-6 AND later > 1e-6) AS INTEGER) AS dry FROM later GROUP BY id)
+SELECT id AS disruption_id, round(gap, 4) AS gap, affected AS affected_count, coalesce(n, 0) AS alternatives_used, round(greatest(CAST(0 AS DOUBLE), gap - coalesce(v, 0)), 4) AS residual_gap,
+  round(s.released, 6) AS total_released, dry AS reserve_exhausted_day FROM dis LEFT JOIN u USING (id) LEFT JOIN s USING (id)""")
+def response_plans(spark, sf):
+    plan = _region_plans(spark, sf)
     return plan["gaps"].select(F.col("scenario_id").alias("disruption_id"), F.round("gap", 4).alias("gap"), "affected_count").join(
         plan["timeline"].select("disruption_id", "alternatives_used", F.round("residual_gap", 4).alias("residual_gap")), "disruption_id").join(
         plan["reserve"].select("disruption_id", r6("total_released").alias("total_released"), "reserve_exhausted_day"), "disruption_id")
+
+
+@query("response_schedules", f"""{_PLANS} SELECT id AS disruption_id, CAST(day AS INTEGER) AS day, round(gap, 4) AS gap, round(release, 4) AS release, round(unmet, 4) AS unmet FROM sch""")
+def response_schedules(spark, sf):
+    return _region_plans(spark, sf)["schedule"].select(
+        "disruption_id", "day", *[F.round(c, 4).alias(c) for c in ("gap", "release", "unmet")])
+
+
+@query("response_lists", f"""{_PLANS} SELECT id AS disruption_id, place, name, round(score, 6) AS score, cum AS cumulative_coverage, cum >= gap - 1e-9 AS covers_gap FROM ranked""")
+def response_lists(spark, sf):
+    return _region_plans(spark, sf)["ranked"].select("disruption_id", "place", "name", r6("score").alias("score"), "cumulative_coverage", "covers_gap")
