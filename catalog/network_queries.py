@@ -8,7 +8,7 @@ from catalog.base import (
     ALT, BASE_SCEN, CUT_SCEN, DIS, LISTS, NET, RANKED, RISKY, STATIC, alternatives, disruptions, fleet, flow_ctes, network,
     network_parts, query, r6, region_risk, risky_network, table,
 )
-from catalog.risk_queries import _statistics
+from catalog.risk_queries import _CAND, STATS, _statistics
 from catalog.base import risk_corridors
 from straitline.operators import criticality as C
 from straitline.operators import network as N
@@ -334,7 +334,19 @@ def threshold_triggers(spark, sf):
     return out.select("network_id", "corridor", r6("loss_fraction").alias("loss_fraction"), "loss_crossed", "risk_crossed", "trigger_order")
 
 
-@query("candidate_criticality")
+# One network per candidate: nation -> region -> brand -> (brand, type), regions scored as the event types in the same alphabetical place.
+_CANDIDATE_NETS = STATS + f""", cs AS ({_CAND}), t5 AS (SELECT corridor, row_number() OVER (ORDER BY corridor) AS i FROM base),
+risk AS (SELECT r_name AS c, r_regionkey, row_number() OVER (ORDER BY r_name) AS i FROM region),
+scored AS (SELECT candidate AS net, c, score FROM cs JOIN t5 USING (corridor) JOIN risk USING (i)), nets AS (SELECT DISTINCT net FROM scored), {_COARSE},
+sc AS (SELECT net, s, c, sum(q) AS v FROM f CROSS JOIN nets GROUP BY ALL), cp AS (SELECT net, c, p, sum(q) AS v FROM f CROSS JOIN nets GROUP BY ALL),
+pr AS (SELECT net, p, p || '/' || r AS r, sum(q) AS v FROM f CROSS JOIN nets GROUP BY ALL), rt AS (SELECT net, r, v AS cap FROM pr),
+cpr AS (SELECT net, c, p, v, v * (1 - least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), score))) AS e FROM cp JOIN scored USING (net, c)),
+down AS (SELECT net, p, sum(least(v, cap)) AS d FROM pr JOIN rt USING (net, r) GROUP BY ALL), {_TWO_FLOWS},
+rk AS (SELECT *, row_number() OVER (PARTITION BY net ORDER BY static_capacity_loss DESC, c) AS static_rank, row_number() OVER (PARTITION BY net ORDER BY capacity_loss DESC, c) AS risk_rank FROM crit)"""
+
+
+@query("candidate_criticality", f"""{_CANDIDATE_NETS} SELECT net AS candidate, c AS corridor, round(capacity_loss, 4) AS capacity_loss, risk_rank, static_rank - risk_rank AS rank_shift,
+  round(100 * (b.flow - a.flow) / b.flow, 4) AS lost_pct FROM rk JOIN rf a USING (net) JOIN sf b USING (net) WHERE a.sid = 'base' AND b.sid = 'base'""")
 def candidate_criticality(spark, sf):
     """Each formula's scores of the five event types put on the five regions, in alphabetical order."""
     from pyspark.sql import Window as W
