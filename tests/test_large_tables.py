@@ -33,3 +33,8 @@ def against_sql(spark, folder, name):
 def test_stream_deduped_reads_all_parts_of_a_table(spark, pages_in_parts):
     got, want = against_sql(spark, pages_in_parts, "stream_deduped")
     assert got == want and len(got) == HOSTS
+
+
+def test_stream_first_sightings_reads_all_parts_of_a_table(spark, pages_in_parts):
+    got, want = against_sql(spark, pages_in_parts, "stream_first_sightings")
+    assert got == want and len(got) == HOSTS
