@@ -38,3 +38,9 @@ def test_stream_deduped_reads_all_parts_of_a_table(spark, pages_in_parts):
 def test_stream_first_sightings_reads_all_parts_of_a_table(spark, pages_in_parts):
     got, want = against_sql(spark, pages_in_parts, "stream_first_sightings")
     assert got == want and len(got) == HOSTS
+
+
+def test_stream_stories_reads_all_parts_of_a_table(spark, pages_in_parts):
+    streamed = queries()["stream_stories"](spark, pages_in_parts).collect()
+    assert sum(r.events for r in streamed) == 60
+    assert sorted(map(tuple, streamed)) == sorted(map(tuple, queries()["story_syndication"](spark, pages_in_parts).collect()))
