@@ -315,3 +315,19 @@ def test_open_gravity_windows_have_no_bands_beyond_the_crudes(spark):
     feeds = spark.createDataFrame([("n", "p", w[0]) for w in windows] + [("n", "dry", "r3")], "network_id string, port string, refinery string")
     out = {(r.port, r.refinery): r.grade_compatible for r in N.grade_compatible(crude, ports, feeds, refineries).collect()}
     assert out == {**{("p", w[0]): any(fit(g, w) for g in grades) for w in windows}, ("dry", "r3"): True}
+
+
+def test_equal_losses_rank_by_name_whatever_the_order_of_their_sums(spark):
+    rows = [("n", 0, "SOURCE", "s", None, 9.0), ("n", 1, "s", "a", None, 9.0), ("n", 1, "s", "b", None, 9.0), ("n", 1, "s", "c", None, 9.0),
+            ("n", 2, "a", "p", "a", 0.3), ("n", 2, "b", "p", "b", 0.1), ("n", 2, "b", "q", "b", 0.2), ("n", 2, "c", "o", "c", 0.7),
+            ("n", 3, "p", "r", None, 9.0), ("n", 3, "q", "t", None, 9.0), ("n", 4, "r", "SINK", None, 9.0), ("n", 4, "t", "SINK", None, 9.0)]
+    edges = spark.createDataFrame([(*r, r[5]) for r in rows], EDGES)
+    risk = edges.filter("layer = 2").select("corridor", F.lit(0.0).alias("risk")).distinct()
+    found = {r.corridor: (r.capacity_loss, r.risk_rank) for r in C.corridor_criticality(edges, risk).collect()}
+    assert found["a"][0] == found["b"][0] == pytest.approx(0.3) and found["c"][0] == 0.0
+    assert [found[c][1] for c in "abc"] == [1, 2, 3]
+
+
+def test_losses_of_nothing_are_nothing(spark):
+    rows = spark.createDataFrame([(10432.66, -3.6e-12), (10432.66, 3.6e-12), (0.0, 0.0), (1e6, 901.0)], "base double, loss double")
+    assert [r[0] for r in rows.select(C.told_loss(F.col("base"), F.col("loss"))).collect()] == [0.0, 0.0, 0.0, 901.0]
