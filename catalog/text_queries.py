@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import re
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
@@ -133,7 +135,26 @@ def page_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id", title.alias("title"), X.normalize_title(title).alias("norm"))
 
 
-@query("unescaped_titles", r"""SELECT page_id, replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '^\s+|\s+$', '', 'g'), '&amp;', '&') AS title FROM pages""")
+#: Character references as HTML5 reads them (the rule of ``html.unescape``): names with and without their semicolon, and the numbers that stand for another character or for none.
+_NUMBERS = [*range(32), *range(127, 160), *range(0xFDD0, 0xFDF0), *(p << 16 | x for p in range(17) for x in (0xFFFE, 0xFFFF))]
+_CODED = lambda text: " || ".join(f"chr({ord(c)})" for c in text) or "''"
+_NAMES = ", ".join(f"('{name}', {_CODED(text)})" for name, text in sorted(html5.items()))
+_OTHERS = ", ".join(f"({n}, {_CODED(html.unescape(f'&#{n};'))})" for n in _NUMBERS if html.unescape(f"&#{n};") != chr(n))
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+UNESCAPED = rf"""names(name, told) AS (VALUES {_NAMES}), others(n, told) AS (VALUES {_OTHERS}),
+cut AS (SELECT page_id, line, regexp_extract_all(title, '{_REFERENCE}') AS refs, string_split_regex(title, '{_REFERENCE}') AS between FROM raw),
+ref AS (SELECT DISTINCT unnest(refs) AS ref FROM cut),
+num AS (SELECT ref, CASE WHEN ref ~ '^&#[0-9]' THEN coalesce(TRY_CAST(regexp_extract(ref, '[0-9]+') AS BIGINT), 1114112)
+  ELSE (SELECT CASE WHEN length(h) > 8 THEN 1114112 ELSE CAST('0x' || coalesce(nullif(h, ''), '0') AS BIGINT) END FROM (SELECT ltrim(regexp_extract(ref, '[xX]([0-9a-fA-F]+)', 1), '0') AS h)) END AS n
+  FROM ref WHERE ref LIKE '&#%'),
+told AS (SELECT ref, CASE WHEN others.n IS NOT NULL THEN others.told WHEN num.n > 1114111 OR num.n BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(CAST(num.n AS INTEGER)) END AS told FROM num LEFT JOIN others ON others.n = num.n
+  UNION ALL SELECT ref, coalesce(arg_max(names.told || substr(ref, 2 + length(name)), length(name)), ref) FROM ref LEFT JOIN names ON starts_with(substr(ref, 2), name) WHERE ref NOT LIKE '&#%' GROUP BY ref),
+piece AS (SELECT page_id, line, i, between[i] AS part, refs[i] AS ref FROM (SELECT *, unnest(range(1, len(between) + 1)) AS i FROM cut))
+SELECT page_id, string_agg(part || coalesce(told, ''), '' ORDER BY i) AS title FROM piece LEFT JOIN told USING (ref) GROUP BY page_id, line"""
+
+
+@query("unescaped_titles", rf"""WITH raw AS (SELECT page_id, row_number() OVER () AS line, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<title>(.*?)</title>', 1), '^\s+|\s+$', '', 'g') AS title FROM pages),
+{UNESCAPED}""")
 def unescaped_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.html_unescape(X.extract_tag(F.col("html"), "title")).alias("title"))
 

@@ -44,3 +44,18 @@ def test_stream_stories_reads_all_parts_of_a_table(spark, pages_in_parts):
     streamed = queries()["stream_stories"](spark, pages_in_parts).collect()
     assert sum(r.events for r in streamed) == 60
     assert sorted(map(tuple, streamed)) == sorted(map(tuple, queries()["story_syndication"](spark, pages_in_parts).collect()))
+
+
+TITLES = ["", " A &amp; B ", "cut &am", "cut &amp", "&ampere &amp;amp;", "&notit; &notin; &not", "&lt;b&gt &#60; &#x3C &#X3c;x", "&#128; &#x80 &#0; &#13;|", "&#1;|&#11;|&#xFFFE;|",
+          "&#xD800; &#1114112; &#99999999999999999999999; &#x0000000000000041; &#xfffffffffffffffffff;", "&NotEqualTilde; &acE; &Aacute &Aacute;", "&; & &# &#; &#x; &x &unknown; &&amp&&", "&CounterClockwiseContourIntegral; &CounterClockwiseContourIntegralx;",
+          "&ThisNameIsFarTooLongToBeTheNameOfAnything;", "&fjlig; &#x1F600; &#233;t&eacute"]
+
+
+def test_unescaped_titles_and_their_sql_read_all_character_references(spark, tmp_path):
+    import html
+
+    rows = [(i, f"<html><title>{t}</title>") for i, t in enumerate(TITLES)] + [(len(TITLES), None), (3, f"<title>{TITLES[3]}</title>")]
+    spark.createDataFrame(rows, "page_id long, html string").repartition(2).write.parquet(f"{tmp_path}/pages.parquet")
+    got, want = against_sql(spark, str(tmp_path), "unescaped_titles")
+    assert got == want
+    assert dict(got) == {**{i: html.unescape(t.strip()) for i, t in enumerate(TITLES)}, len(TITLES): ""}
