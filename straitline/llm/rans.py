@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from straitline.llm.common import arrow_map, load_tokenizer, stored, tokenizer_path
 from straitline.llm.tokens import encoder, forget
@@ -204,9 +206,6 @@ def write_tokens(tokens: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS,
         if docs:
             yield close()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     schema = StructType.fromDDL(f"part int, block long, ids array<{kind.simpleString()}>, sizes array<long>, tokens long, payload binary")
     names = to_arrow_schema(schema)
     ordered.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
@@ -225,21 +224,22 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     inside = blocks.select("part", "block", (F.sum("tokens").over(W.partitionBy("part").orderBy("block")) - F.col("tokens")).alias("inside"))
     placed = inside.join(before, "part").select("part", "block", (F.col("before") + F.col("inside")).alias("first"))
 
-    def decode(first: list, ids: list, sizes: list, payloads: list) -> list:
+    out = StructType.fromDDL(f"id {kind}, start long, ids binary")
+
+    def decode(batches):
         forget()
-        freq = shared.value
+        freq, names = shared.value, to_arrow_schema(out)
         start, slots = _starts(freq), slot_table(freq)
-        docs, begins, tokens = [], [], []
-        for a, names, ns, payload in zip(first, ids, sizes, payloads):
-            own = decode_block(payload, freq, start, slots)
-            ends = np.cumsum(ns)
-            for doc, n, end in zip(names, ns, ends.tolist()):
-                docs.append(doc)
-                begins.append(a + end - n)
-                tokens.append(own[end - n:end].astype("<u4").tobytes())
-        return [docs, begins, tokens]
-
-    return arrow_map(blocks.join(placed, ["part", "block"]).select("first", "ids", "sizes", "payload"), decode, f"id {kind}, start long, ids binary")
+        for batch in batches:
+            for k in range(batch.num_rows):  # a block is many documents: one at a time, and handed on
+                a, docs, ns, payload = (c[k].as_py() for c in batch.columns)
+                own, ends = decode_block(payload, freq, start, slots).astype("<u4"), np.cumsum(ns)
+                begins = (ends - ns).tolist()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(docs, names[0].type), pa.array([a + x for x in begins], pa.int64()),
+                    pa.array([own[x:y].tobytes() for x, y in zip(begins, ends.tolist())], pa.binary())], schema=names)
+
+    return blocks.join(placed, ["part", "block"]).select("first", "ids", "sizes", "payload").mapInArrow(decode, out)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:

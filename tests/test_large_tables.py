@@ -117,3 +117,19 @@ def test_similar_titles_of_copies_read_each_event_a_few_times(spark, monkeypatch
                 break
     assert got == want and len(want) > 500
     assert sum(read) <= 4 * len(rows)
+
+
+def test_token_blocks_are_read_one_at_a_time(spark, tmp_path, monkeypatch):
+    from straitline.llm import rans
+
+    docs = spark.createDataFrame([(i, f"word{i} " * (i % 9)) for i in range(300)] + [(None, None), (7, "again")], "doc_id long, text string")
+    tokens = rans.stored(rans.tokenize(docs, "doc_id", "text"), "tokens")
+    want = sorted((r.id is not None, r.id or 0, bytes(r.ids)) for r in tokens.collect())
+    # Everything in one partition of many blocks, as a large file has them.
+    rans.write_tokens(tokens, f"{tmp_path}/t", block_tokens=64, narrow=rans.stored_type())
+    monkeypatch.setattr(rans, "arrow_map", None)  # reads several hundred blocks before it gives anything
+    rows = rans.read_tokens(spark, f"{tmp_path}/t").collect()
+    import numpy as np
+
+    assert sorted((r.id is not None, r.id or 0, np.frombuffer(r.ids, "<u4").astype(rans.stored_type()).tobytes()) for r in rows) == want
+    assert sorted(r.start for r in rows)[0] == 0 and len({r.start for r in rows}) == len(rows)
