@@ -168,6 +168,49 @@ def test_betweenness_equals_all_paths(nets):
             assert got[name] == pytest.approx(brute_betweenness(rows, length))
 
 
+def test_betweenness_tables_follow_kinds_of_refineries(spark, monkeypatch):
+    """Refineries of equal ways, and those off the shortest ways of their only port, are one node of the path tables."""
+    from straitline.operators import centrality
+
+    def rows(refineries):
+        found = [(0, "SOURCE", "s", 9.0), (1, "s", "c", 9.0), (2, "c", "p0", 4.0), (2, "c", "p1", 5.0)]
+        for i in range(refineries):
+            found += [(3, f"p{i % 2}", f"r{i}", 1.0 + i % 7), (4, f"r{i}", "SINK", 2.0 + i % 5)]
+        found += [(3, "p0", "both", 7.0), (3, "p1", "both", 7.0), (4, "both", "SINK", 6.0)]
+        return [("n", a, b, c, b if a == 2 else None, v, v) for a, b, c, v in found]
+
+    made = []
+    keep = centrality.checkpointed
+    for refineries in (70, 280):
+        edges = spark.createDataFrame(rows(refineries), EDGES)
+        for weight, length in ((None, lambda r: 1.0), ("effective_capacity", lambda r: 1.0 / r[6])):
+            sizes = []
+            monkeypatch.setattr(centrality, "checkpointed", lambda df: [x := keep(df), sizes.append(x.count())][0])
+            got = {(r.layer, r.node): r.centrality for r in centrality.betweenness(edges, weight).collect()}
+            assert got == pytest.approx(brute_betweenness(rows(refineries), length))
+            made.append(sizes[1:])  # the first is the network itself
+    assert made[:2] == made[2:]
+
+
+def test_networks_of_odd_parts(spark, tmp_path):
+    """Lines of unknown parts belong to no network, those of repeated parts count for each; suppliers do not move by part."""
+    import catalog.base as base
+
+    tables = {
+        "region": [(0, "ASIA")], "nation": [(0, 0)], "supplier": [(1, 0), (2, 0)], "part": [(1, "A", 3), (2, "B", 4), (2, "B", 9)],
+        "lineitem": [("N", 1, 1, 5.0), ("N", 1, 2, 7.0), ("N", 2, 3, 11.0), ("N", 2, None, 1.0), ("N", 9, 1, 1.0), ("R", 2, 1, 2.0)]}
+    columns = {
+        "region": "r_regionkey int, r_name string", "nation": "n_nationkey int, n_regionkey int", "supplier": "s_suppkey long, s_nationkey int",
+        "part": "p_partkey long, p_brand string, p_size int", "lineitem": "l_returnflag string, l_suppkey long, l_partkey long, l_quantity double"}
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, columns[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    parts = {k: sorted(map(tuple, df.collect())) for k, df in base.network_parts(spark, str(tmp_path)).items()}
+    assert parts["suppliers"] == [("N", "S1", "ASIA", 19.0), ("R", "S2", "ASIA", 2.0)]
+    assert parts["ports"] == [("N", "ASIA", "A", 5.0), ("N", "ASIA", "B", 14.0), ("R", "ASIA", "A", 2.0)]
+    assert parts["feeds"] == [("N", "A", "P1", 4.5), ("N", "B", "P2", 14 * 0.9), ("R", "A", "P1", 1.8)]
+    assert parts["refineries"] == [("N", "P1", 320.0), ("N", "P2", 560.0), ("R", "P1", 320.0)]
+
+
 def test_criticality_ranks_and_losses(spark, nets):
     networks, df = nets
     risk = spark.createDataFrame([("c0", 0.4), ("c1", 0.9)], "corridor string, risk double")
