@@ -170,3 +170,39 @@ def test_token_blocks_are_read_one_at_a_time(spark, tmp_path, monkeypatch):
 
     assert sorted((r.id is not None, r.id or 0, np.frombuffer(r.ids, "<u4").astype(rans.stored_type()).tobytes()) for r in rows) == want
     assert sorted(r.start for r in rows)[0] == 0 and len({r.start for r in rows}) == len(rows)
+
+
+def test_refinery_inflow_stores_no_row_per_refinery_and_scenario(spark, monkeypatch):
+    from straitline.operators import criticality, flow, network, ordered
+
+    rows = [("n", 0, "SOURCE", f"s{c}", None, 90.0) for c in "ab"] + [("n", 1, f"s{c}", c, None, 90.0) for c in "ab"]
+    rows += [("n", 2, c, p, c, 40.0 + 10 * (c == p)) for c in "ab" for p in "abz" if p != "z"]
+    rows += [("n", 3, "abz"[i % 3], f"r{i:03}", None, 1.0 + i % 4) for i in range(150)]  # nothing reaches port z
+    rows += [("n", 4, f"r{i:03}", "SINK", None, 2.5) for i in range(151)]  # nothing feeds the last one
+    edges = spark.createDataFrame([r + (r[-1],) for r in rows], "network_id string, layer int, src string, dst string, corridor string, volume double, effective_capacity double")
+    scenarios = spark.createDataFrame(
+        [("n", f"{c}{pct}", c, float(pct), None) for c in "ab" for pct in (20, 50, 80, 100)] + [("n", "supply", None, None, 120.0)],
+        "network_id string, scenario_id string, corridor string, degradation_pct double, supply_reduction double")
+    stored, keep = [], flow.checkpointed
+
+    def spy(df):
+        out = keep(df)
+        stored.append(out.count())
+        return out
+
+    for module in (flow, ordered, criticality):
+        monkeypatch.setattr(module, "checkpointed", spy)
+    monkeypatch.setattr(flow, "CUT_BLOCKS", 4)
+    impact, affected = criticality.scenario_impact(edges, scenarios)
+    told = {r.scenario_id: r for r in impact.collect()}
+    lost = {}
+    for r in affected.collect():
+        lost.setdefault(r.scenario_id, []).append(r.baseline - r.current)
+    assert max(stored) <= 2 * 151  # before: one row per refinery and scenario
+    for c in "ab":
+        for pct in (20, 50, 80, 100):
+            copy = network.degrade_corridor(edges, scenarios.filter(f"scenario_id = '{c}{pct}'")).drop("scenario_id")
+            now = {r.refinery: r.inflow for r in flow.sink_inflow(copy).collect()}
+            assert len(now) == 151 and now["r150"] == 0 and now["r002"] == 0
+            assert abs(sum(now.values()) - told[f"{c}{pct}"].flow_after) < 1e-9
+            assert told[f"{c}{pct}"].affected_count == len(lost.get(f"{c}{pct}", [])) and told["a100"].affected_count > 0
