@@ -206,3 +206,30 @@ def test_refinery_inflow_stores_no_row_per_refinery_and_scenario(spark, monkeypa
             assert len(now) == 151 and now["r150"] == 0 and now["r002"] == 0
             assert abs(sum(now.values()) - told[f"{c}{pct}"].flow_after) < 1e-9
             assert told[f"{c}{pct}"].affected_count == len(lost.get(f"{c}{pct}", [])) and told["a100"].affected_count > 0
+
+
+def test_stateful_stories_of_few_titles_are_settled_by_title(monkeypatch):
+    import random
+
+    import pandas as pd
+
+    from straitline.functions.similarity import WINDOW_MICROS
+    from straitline.streaming import stateful
+
+    rng = random.Random(3)
+    titles = ["", "oil tanker seized", "oil tanker seized again", "port closed", "port closed at night", "far away"]
+    at = sorted(rng.randrange(5 * WINDOW_MICROS) for _ in range(5000))
+    rows = pd.DataFrame({"at": at, "event_id": rng.sample(range(10 ** 6), 5000), "norm": [rng.choice(titles) for _ in at]})
+    rows = rows.sort_values(["at", "event_id"], ignore_index=True)
+    monkeypatch.setattr(stateful, "TITLES", 0, raising=False)
+    want, founders = [], []
+    for start in (0, 1700, 3400):
+        part, founders = stateful.settle_against(founders, rows.iloc[start : start + 1700 if start < 3400 else None])
+        want.append((part, founders))
+    monkeypatch.undo()
+    monkeypatch.setattr(stateful, "resolve_batch", None)  # slice by slice
+    founders = []
+    for start, told in zip((0, 1700, 3400), want):
+        got = stateful.settle_against(founders, rows.iloc[start : start + 1700 if start < 3400 else None])
+        founders = got[1]
+        assert got == told and len(founders) > 0
