@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from straitline.llm import bit_sliced, merge_dropout, packing, rans, simhash, vptree
+from straitline.llm import bit_sliced, merge_dropout, packing, rans, simhash, tokens, vptree
 from straitline.llm.common import load_tokenizer, tokenizer_path
 from straitline.llm.components import components
 from straitline.llm.tokens import encoder
@@ -33,6 +33,18 @@ def test_encoders_equal_the_library(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder(path, spaces, fold).encode(texts)] == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aBé, .\n\r\x1c ", min_size=1, max_size=12), min_size=1, max_size=6))
+def test_encoders_remember_few_stretches(texts):
+    """What was forgotten is made again, and a stretch with a space before it is another than one without."""
+    for name, spaces, fold in (("byte_bpe_50k.json", True, False), ("word_bpe_49k.json", False, True)):
+        path = tokenizer_path(name)
+        own, want = tokens.Encoder(path, spaces, fold), [e.ids for e in load_tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(tokens, "REMEMBERED", 1)
+            assert [np.frombuffer(own.encode([t])[0], "<u4").tolist() for t in texts + texts] == want + want
+
+
 # --- packing ----------------------------------------------------------------------
 
 def test_packing_places_each_id_once(spark):
