@@ -206,28 +206,39 @@ def shared_prefixes(texts: DataFrame, shingle: int = SHINGLE, similarity: float
     return shared
 
 
-def _jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = np.intersect1d(x, y, assume_unique=True).size
-    return both / max(1, x.size + y.size - both)
-
-
-def _shingle_sets(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """``key, shingles`` of the texts that some pair asks for, stored."""
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    one = texts.join(ends, "key", "left_semi").select("key", "text")
-    return stored(arrow_map(one, lambda ks, ts: [ks, [shingle_set(t, shingle).tobytes() for t in ts]], "key long, shingles binary"), "shingle-sets")
+#: Shingles of which a task holds sets at a time, to use them for several pairs.
+HELD = 1 << 20
+
+
+def _likenesses(a: list[int], b: list[int], x: list[str], y: list[str], shingle: int) -> list[float]:
+    """Jaccard similarity of the texts ``x`` and ``y`` with keys ``a`` and ``b``; sets are made once for pairs that lie together."""
+    sets, held, out = {}, 0, []
+    for pair in zip(zip(a, x), zip(b, y)):
+        for key, text in pair:
+            if key not in sets:
+                if held > HELD:  # the other one of this pair may go as well
+                    sets, held = {}, 0
+                sets[key] = shingle_set(text, shingle)
+                held += sets[key].size
+        one, other = (sets[key] if key in sets else shingle_set(text, shingle) for key, text in pair)
+        both = np.intersect1d(one, other, assume_unique=True).size
+        out.append(both / max(1, one.size + other.size - both))
+    return out
 
 
 def similar_links(texts: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the candidate ``pairs`` whose texts really share ``similarity`` of their shingles; ``texts``: ``key, text``."""
-    sets = _shingle_sets(texts, pairs, shingle)
-    release(texts.sparkSession)  # the texts' way to their pairs is done before the sets' begins
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a") \
-        .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    checked = arrow_map(both.select("a", "b", "x", "y"), lambda a, b, x, y: [a, b, [_jaccard(p, q) for p, q in zip(x, y)]], "a long, b long, likeness double")
+    """Those of the candidate ``pairs`` whose texts really share ``similarity`` of their shingles; ``texts``: ``key, text``.
+
+    The texts go to their pairs, not their shingles' hashes, which are larger and do not compress.
+    """
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    asked = stored(texts.join(ends, "key", "left_semi").select("key", "text"), "asked-texts")
+    release(texts.sparkSession)  # all texts' way is done before that of the asked ones begins
+    both = pairs.join(asked.select(F.col("key").alias("a"), F.col("text").alias("x")), "a") \
+        .join(asked.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
+    checked = arrow_map(both.select("a", "b", "x", "y"), lambda a, b, x, y: [a, b, _likenesses(a, b, x, y, shingle)], "a long, b long, likeness double")
     links = stored(checked.filter(F.col("likeness") >= similarity).select("a", "b"), "links")
-    discard(sets)
+    discard(asked)
     return links
 
 
@@ -304,6 +315,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     nodes = stored(keyed.groupBy("key").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row")), "distinct-texts")
     texts = docs.select(row_key(docs).alias("row"), F.col(f"`{text}`").alias("text")).join(nodes, "row").dropDuplicates(["key"]).select("key", "text")
     texts = stored(texts, "texts")
+    release(docs.sparkSession)
     linked = similar_groups(texts, shingle, similarity)
     discard(texts)
     classes = keyed.join(linked, F.col("key") == F.col("node"), "left")

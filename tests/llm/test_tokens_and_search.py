@@ -3,6 +3,7 @@
 import uuid
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -338,6 +339,29 @@ def test_no_link_between_look_alikes_is_missed(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()) == want
 
 
+def test_pairs_are_verified_with_less_than_their_texts(spark, monkeypatch):
+    """What is stored to verify pairs takes less room than the texts, and likeness is that of the whole shingle sets."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 800))) for k in range(60)]
+    rows += [(100 + k, t + " end") for k, t in rows[:30]]
+    texts = simhash.stored(spark.createDataFrame(rows, "key long, text string").repartition(2), "given")
+    pairs = spark.createDataFrame([(k, 100 + k) for k in range(30)] + [(k, k + 1) for k in range(59)], "a long, b long")
+    sizes, stored = [], simhash.stored
+
+    def seen(df, name):
+        out = stored(df, name)
+        sizes.append(sum(p.stat().st_size for p in Path(out.stored_path.removeprefix("file:")).glob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    monkeypatch.setattr(simhash, "HELD", 100)
+    found = {(r.a, r.b) for r in simhash.similar_links(texts, pairs).collect()}
+    text = dict(rows)
+    sets = {k: set(simhash.shingle_set(t, 5).tolist()) for k, t in text.items()}
+    assert found == {(r.a, r.b) for r in pairs.collect() if len(sets[r.a] & sets[r.b]) >= 0.8 * len(sets[r.a] | sets[r.b])}
+    assert sum(sizes) < sum(len(t) for t in text.values())
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
