@@ -21,7 +21,7 @@ LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Marks that form a token of their own behind letters; the apostrophe, which also starts contractions, isn't among them.
 PUNCTUATION = r"!-&(-/:-@\[-`{-~"
 #: Stretches that a worker remembers at a time, besides as many that it remembered before.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def byte_characters() -> dict[int, str]:
