@@ -4,6 +4,7 @@ import random
 from collections import deque
 from itertools import product
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,3 +375,31 @@ def test_equal_losses_rank_by_name_whatever_the_order_of_their_sums(spark):
 def test_losses_of_nothing_are_nothing(spark):
     rows = spark.createDataFrame([(10432.66, -3.6e-12), (10432.66, 3.6e-12), (0.0, 0.0), (1e6, 901.0)], "base double, loss double")
     assert [r[0] for r in rows.select(C.told_loss(F.col("base"), F.col("loss"))).collect()] == [0.0, 0.0, 0.0, 901.0]
+
+
+def test_cascade_counts_the_refineries_it_affects(spark, monkeypatch):
+    from catalog import network_queries
+
+    rows = [("n", 0, "SOURCE", "s", None, 10.0), ("n", 1, "s", "c", None, 10.0), ("n", 2, "c", "p", "c", 10.0)]
+    for r in ("r1", "r2"):
+        rows += [("n", 3, "p", r, None, 5.0), ("n", 4, r, "SINK", None, 5.0)]
+    df = spark.createDataFrame([r + (r[-1],) for r in rows], EDGES)
+    monkeypatch.setattr(network_queries, "risky_network", lambda spark, sf: df)
+    got = {r.scenario_id: (r.flow_after, r.affected_count, r.refinery_shortfall) for r in network_queries.cascade_curve(spark, "").collect()}
+    assert len(got) == 10  # r1 comes first in name order, so r2 loses until nothing is left for it
+    assert got["c@10"] == (9.0, 1, 1.0) and got["c@50"] == (5.0, 1, 5.0) and got["c@60"] == (4.0, 2, 6.0) and got["c@100"] == (0.0, 2, 10.0)
+
+
+def test_block_inflows_do_not_depend_on_how_many_refineries_are_made_at_a_time(monkeypatch):
+    rng, terms, cuts = random.Random(7), [], []
+    for i in range(40):
+        terms += [("n", 0, f"p{i % 3}", f"r{i:02}", o, rng.uniform(0, 3) * o) for o in (1, 2, 3)[: 3 if i % 3 else 1]]
+    for sid, x in (("a", 3), ("a", 1), ("b", 2), ("b", 0)):
+        for p in range(3):
+            cuts += [("n", 0, f"p{p}", sid, x, 5.0 + x, o, rng.uniform(0, 30), 2.0 * o) for o in (0, 1, 2, 3)[: 4 if p else 2]]
+    terms, cuts = (pa.table(dict(zip(names, map(list, zip(*rows))))) for names, rows in (
+        (("network_id", "block", "component", "refinery", "open_ports", "value"), terms),
+        (("network_id", "block", "component", "scenario_id", "x", "start", "open_ports", "inflow", "base"), cuts)))
+    whole = flows._block_inflows(terms, cuts).to_pylist()
+    monkeypatch.setattr(flows, "ROWS", 7)
+    assert len(whole) == 40 and flows._block_inflows(terms.take(pa.array(rng.sample(range(len(terms)), len(terms)))), cuts).to_pylist() == whole
