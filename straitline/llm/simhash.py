@@ -78,7 +78,8 @@ def near_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
 
     radius // 2 + 1 segments suffice, since one then differs by at most one bit. A pair is kept where it first meets: at
     the first segment that differs by at most one bit, and there at that bit (at the lowest one, if the segments agree).
-    A fingerprint has a bounded number of neighbours within the radius, so that links grow with the fingerprints only.
+    A fingerprint has a bounded number of neighbours within the radius, so that links grow with the fingerprints only. Spark
+    sizes the variants by the table they are exploded from, which is 64 times too low, so that the join is told not to broadcast.
     """
     count = radius // 2 + 1
     width = 64 // count
@@ -92,7 +93,7 @@ def near_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
         before = [F.bit_count(F.shiftrightunsigned(differ, t * width).bitwiseAND(F.lit((1 << width) - 1))) > 1 for t in range(s)]
         here = functools.reduce(lambda x, y: x & y, [meets, *before])
         cond = cond & (~a["part"].between(s * width, s * width + width - 1) | here)
-    return a.join(b, cond).select("a", "b")
+    return a.join(b.hint("merge"), cond).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:

@@ -269,3 +269,13 @@ def test_figures_are_no_letters(spark):
     docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("the cat sat", "en"), ("die katze", "de"), ("½ ² ① Ⅳ", None), ("½ a", None)])], DOCS)
     got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.fit(docs)).collect()}
     assert got[2] == "und" and got[3] in ("en", "de") and got[0] == "en"
+
+
+def test_variants_of_fingerprints_are_never_broadcast(spark, tmp_path):
+    from straitline.llm import simhash
+
+    spark.createDataFrame([(1,), (3,), (1 << 40,)], "print long").write.parquet(f"{tmp_path}/prints")
+    prints = spark.read.parquet(f"{tmp_path}/prints")  # a stored table, whose size Spark knows
+    pairs = simhash.near_fingerprints(prints, 2)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1, 3), (1, 1 << 40)}
