@@ -299,3 +299,22 @@ def test_sample_does_not_depend_on_partitions(spark):
     one, many = (sorted(map(tuple, secret_scan.sample(docs.repartition(n)).collect())) for n in (1, 7))
     assert one == many and len(one) == len(set(one))
     assert hashlib.sha256(repr(one).encode()).hexdigest() == hashlib.sha256(repr(many).encode()).hexdigest()
+
+
+def test_the_network_learns_from_every_window(spark):
+    docs = [(i, f"see file_{i}-abc.txt and password=ab{i}cdef", "en", "s", 0) for i in range(6500)]
+    rows = secret_scan.sample(spark.createDataFrame(docs, DOCS)).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in rows} == {0: 6500, 1: 6500}
+
+
+def test_shards_learn_together(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "SHARD", 3000)
+    docs, hidden, clean = secrets_corpus(9600)
+    model = secret_scan.fit(spark.createDataFrame(docs, DOCS))
+    assert len(model.kinds) == 3
+    found = {i for (i, *_), (_, spans) in zip(docs, secret_scan.scan([text for _, text, *_ in docs], model)) if any(k == secret_scan.LEARNED for _, _, k, _ in spans)}
+    assert len(found & hidden) >= 0.9 * len(hidden) and len(found & clean) <= 0.01 * len(clean)
+    part = secret_scan.Training({"w": np.ones(2)}, {"w": np.zeros(2)}, {"w": np.zeros(2)}, 4)
+    other = secret_scan.Training({"w": np.full(2, 4.0)}, {"w": np.ones(2)}, {"w": np.zeros(2)}, 8)
+    mean = secret_scan._averaged(iter([(1, part), (3, other)]))
+    assert mean.w["w"].tolist() == [3.25, 3.25] and mean.first["w"].tolist() == [0.75, 0.75] and mean.step == 7
