@@ -2,9 +2,8 @@
 
 Merges are taken from an agenda, best score first. A candidate is skipped when a keyed hash says so: the key is the seed and the
 document, the candidate's place in the whole text and its rank. So each occurrence is segmented by its own key, and it does not
-matter how a text is cut into stretches, as long as no merge crosses a cut. What is remembered of a stretch is a tree: the merges
-taken without dropout, then those taken once the k-th of them is skipped, and so on. Occurrences walk the tree, all of a text at
-once, and the agenda runs once per branch instead of once per occurrence where the same branch is wanted often.
+matter how a text is cut into stretches, as long as no merge crosses a cut. The agendas of all stretches of like length run side by
+side in matrices: a round takes the best candidate of each stretch, so that there are as many rounds as a stretch has merges.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ import functools
 import heapq
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
@@ -24,19 +22,22 @@ from straitline.llm.common import arrow_map, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 42
-#: Branches that a worker remembers at a time, besides as many that it remembered before.
-REMEMBERED = 300_000
-#: Occurrences that leave a branch by an unknown way and are segmented by themselves before the ways from it are remembered.
-STRAYS = 8
-#: Characters up to which a stretch is remembered and its agenda is a list, which is quicker for words; longer stretches have a
-#: heap. Both give the same pieces.
+#: Characters whose agendas run side by side.
+CHUNK = 1 << 19
+#: Characters up to which a stretch is a row of a matrix; longer ones have a heap. Both give the same pieces.
 SHORT = 48
+#: Columns of those matrices, up to SHORT: a row is padded to the next of them.
+WIDTHS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, 48)
+#: No longer used: stretches and their branches are not remembered.
+REMEMBERED, STRAYS = 0, 0
 PLACE, RANK = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
-MASK, NEVER, NONE = (1 << 64) - 1, 1 << 62, frozenset()
+MASK = (1 << 64) - 1
+#: Rank of what is no candidate, and the symbol of a character that a merge has taken up.
+NEVER, DEAD = 0xFFFFFFFF, 0xFFFFFFFF
 
 SPACE_MARK = "▁"
-#: Pieces hold the mark of a space at their start only, so that merges never cross from a character to such a mark.
-STRETCH = re.compile("▁*[^▁]+|▁+")
+#: A space that starts a stretch: merges never cross from another character to it.
+START = re.compile("(?<! ) ")
 
 
 @functools.lru_cache(maxsize=2)
@@ -67,39 +68,9 @@ def _dropped(key: int, place: int, rank: int, limit: int) -> bool:
     return ((x ^ x >> 31) * 0x94D049BB133111EB & MASK) >> 40 < limit
 
 
-def merged(stretch: str, ranks: dict[str, int], skipped: frozenset, taken: list[int], key: int = 0, limit: int = 0) -> list[str]:
-    """Pieces of a stretch: the agenda's merges, best rank first, then from the left, without the ``skipped`` (place, rank).
-
-    ``taken`` gets place and rank of each merge. A place is that of the left side's first character. With a ``limit``
-    the keyed hash skips instead.
-    """
-    symbols, places, get = list(stretch), list(range(len(stretch))), ranks.get
-    agenda = [get(stretch[a:a + 2], NEVER) for a in range(len(stretch) - 1)]
-    while agenda:
-        rank = min(agenda)
-        if rank == NEVER:
-            break
-        a = agenda.index(rank)
-        if limit:  # _dropped, written out: this is the hot loop
-            x = (key + places[a] * PLACE ^ rank * RANK) * 0xBF58476D1CE4E5B9 & MASK
-            if ((x ^ x >> 31) * 0x94D049BB133111EB & MASK) >> 40 < limit:
-                agenda[a] = NEVER
-                continue
-        elif skipped and (places[a], rank) in skipped:
-            agenda[a] = NEVER
-            continue
-        taken += (places[a], rank)
-        symbols[a:a + 2] = [symbols[a] + symbols[a + 1]]
-        del agenda[a], places[a + 1]
-        if a:
-            agenda[a - 1] = get(symbols[a - 1] + symbols[a], NEVER)
-        if a < len(agenda):
-            agenda[a] = get(symbols[a] + symbols[a + 1], NEVER)
-    return symbols
-
-
 def merged_by_key(stretch: str, ranks: dict[str, int], key: int, limit: int) -> list[str]:
-    """The same with a heap, for stretches of any length, skipping what the keyed hash says."""
+    """Pieces of a stretch of any length: the agenda's merges, best rank first, then from the left, without those that the keyed hash
+    skips. A place is that of the left side's first character."""
     symbols, n = list(stretch), len(stretch)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
     agenda: list[tuple[int, int, int, str]] = []
@@ -126,141 +97,188 @@ def merged_by_key(stretch: str, ranks: dict[str, int], key: int, limit: int) ->
     return [s for s in symbols if s]
 
 
-class Branch:
-    """A stretch with some merges skipped: its ids, the merges taken since the last skip, and the branches behind further skips."""
-
-    __slots__ = ("ids", "taken", "skipped", "children", "stretch", "strays")
-
-    def __init__(self, ids: bytes, taken: bytes, skipped: frozenset, stretch: str):
-        self.ids, self.taken, self.skipped, self.stretch = ids, taken, skipped, stretch
-        self.children: dict[int, Branch] | None = None
-        self.strays = 0
+class Merges:
+    """Which symbols two symbols merge to, as an open-addressed table in one array: the pair's key above, the piece's symbol below."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]):
+        self.bits = max(8, (4 * len(rows)).bit_length())
+        self.slots = np.zeros(1 << self.bits, np.uint64)
+        left, right, piece = np.array(rows, np.uint64).reshape(-1, 3).T
+        key = left << np.uint64(21) | right
+        entry, at = key << np.uint64(21) | piece, self._slot(key)
+        while entry.size:
+            free = np.flatnonzero(self.slots[at] == 0)
+            _, first = np.unique(at[free], return_index=True)
+            self.slots[at[free[first]]] = entry[free[first]]
+            rest = np.delete(np.arange(entry.size), free[first])
+            entry, at = entry[rest], at[rest] + 1 & (1 << self.bits) - 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(PLACE)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbols that pairs merge to, 0 where they do not."""
+        key = left.astype(np.uint64) << np.uint64(21) | right
+        at = self._slot(key)
+        entry = self.slots[at]
+        out = np.where(entry >> np.uint64(21) == key, entry & np.uint64((1 << 21) - 1), np.uint64(0)).astype(np.uint32)
+        open_ = np.flatnonzero((out == 0) & (entry != 0))
+        while open_.size:  # the slot holds another pair: look on
+            at[open_] = at[open_] + 1 & (1 << self.bits) - 1
+            entry = self.slots[at[open_]]
+            hit = entry >> np.uint64(21) == key[open_]
+            out[open_[hit]] = (entry[hit] & np.uint64((1 << 21) - 1)).astype(np.uint32)
+            open_ = open_[~hit & (entry != 0)]
+        return out
 
 
 class Segmenter:
-    """Segmentations of whole texts under a seed; remembers branches of the stretches it has met."""
+    """Segmentations of whole texts under a seed. A symbol is an id plus one, or beyond those a character that is only part of pieces;
+    0 is any other character."""
 
     def __init__(self, path: str, dropout: float, seed: int):
         self.ids, self.ranks, self.single, self.raw = vocabulary(path)
         self.limit, self.seed = int(dropout * (1 << 24)), seed & MASK
-        #: Of a stretch, as cut from a text, its branch without skips; a tuple is a stretch that has no space before it.
-        self.known: dict[str | tuple, Branch] = {}
-        self.before: dict[str | tuple, Branch] = {}
-        self.branches = 0
-        self.breaks = not any("\n" in p for p in self.ids)
-        # Marks that no piece holds behind a letter: merges never reach across such a place either.
-        ends = {p[k] for p in self.ids for k in range(1, len(p)) if p[k - 1].isalpha()}
-        self.ends = "".join(c for c in ".,;:!?" if c not in ends)
-        self.mark = array("I", [self.single[b] for b in SPACE_MARK.encode()]).tobytes()
+        symbols = {p: i + 1 for p, i in self.ids.items()}
+        chars = sorted({c for p in self.ids for c in p})
+        for c in chars:
+            symbols.setdefault(c, len(self.raw) + 1 + len(symbols))
+        self.merges = Merges([(symbols[p[:k]], symbols[p[k:]], symbols[p]) for p in self.ids for k in range(1, len(p))
+                              if p[:k] in symbols and p[k:] in symbols])
+        self.rank = np.full(len(self.raw) + 1, NEVER, np.uint32)
+        for p, r in self.ranks.items():
+            self.rank[symbols[p]] = r
+        points = [ord(c) for c in chars]
+        self.symbol, self.number = np.zeros(0x110000, np.uint32), np.zeros(0x110000, np.int32)
+        self.symbol[points] = [symbols[c] for c in chars]
+        self.number[points] = np.arange(1, len(chars) + 1)
+        #: Which characters stand side by side in some piece: between others no merge ever crosses.
+        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for p in self.ids:
+            own = self.number[[ord(c) for c in p]]
+            self.beside[own[:-1], own[1:]] = True
+        self.bytes = np.array(self.single, np.uint32)
 
     def _spelled(self, piece: str) -> list[int]:
         """Ids of a piece: its own, or those of its bytes where the vocabulary lacks it."""
         i = self.ids.get(piece)
         return [i] if i is not None else [self.single[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def _written(self, pieces: list[str]) -> bytes:
-        get, out = self.ids.get, []
-        for piece in pieces:
-            i = get(piece)
-            out += [i] if i is not None else self._spelled(piece)
-        return array("I", out).tobytes()
-
-    def _pieces(self, stretch: str, skipped: frozenset, taken: list[int], key: int = 0, limit: int = 0) -> list[str]:
-        if self.ends and stretch[-1] in self.ends and stretch[-2:-1].isalpha():
-            return [*merged(stretch[:-1], self.ranks, skipped, taken, key, limit), stretch[-1]]
-        return merged(stretch, self.ranks, skipped, taken, key, limit)
-
-    def _branch(self, stretch: str, skipped: frozenset, at: int) -> Branch:
-        """The branch of a stretch behind ``skipped``, whose first ``at`` merges were those of the branch before it."""
-        taken: list[int] = []
-        pieces = self._pieces(stretch, skipped, taken)
-        self.branches += 1
-        return Branch(self._written(pieces), array("Q", taken[2 * at:]).tobytes(), skipped, stretch)
-
-    def _root(self, part: str | tuple) -> Branch:
-        own = self.before.get(part)
-        if own is not None:
-            own.children, own.strays = None, 0  # only what is met again is remembered on
-            self.branches += 1
-        else:
-            stretch = part[0] if type(part) is tuple else part if part[0] in "\n▁" else SPACE_MARK + part
-            if part == (SPACE_MARK,):  # a literal mark would read as a space: its bytes
-                own = Branch(self.mark, b"", NONE, stretch)
-            elif len(stretch) > SHORT:  # without ids: segmented where it stands
-                return Branch(b"", b"", NONE, stretch)
-            else:
-                own = self._branch(stretch, NONE, 0)
-        self.known[part] = own
-        return own
-
-    def _child(self, parent: Branch, at: int, done: int, key: int) -> Branch:
-        """The branch behind the skip of the ``at``-th merge of ``parent``; ``done`` merges were taken before it.
-
-        A stray gets a branch of its own that is not remembered and has nothing left to test.
-        """
-        own = parent.children.get(at) if parent.children else None
-        if own is None:
-            if parent.strays < STRAYS:
-                parent.strays += 1
-                pieces = self._pieces(parent.stretch, NONE, [], key, self.limit)
-                return Branch(self._written(pieces), b"", NONE, parent.stretch)
-            if parent.children is None:
-                parent.children = {}
-            place, rank = array("Q", parent.taken[16 * at:16 * at + 16])
-            own = parent.children[at] = self._branch(parent.stretch, parent.skipped | {(place, rank)}, done)
-        return own
-
-    def _parts(self, text: str) -> list[str | tuple]:
-        """Stretches that merges never cross: words with the space before them, or with a line break, and literal marks."""
-        if SPACE_MARK in text:
-            first, *rest = text.split(SPACE_MARK)
-            parts = self._parts(first) if first else [SPACE_MARK]  # the space put before a text
-            for part in rest:
-                parts.append((SPACE_MARK,))
-                own = STRETCH.findall(part.replace(" ", SPACE_MARK))
-                parts += [(x,) if k == 0 and x[0] != SPACE_MARK else x for k, x in enumerate(own)]
-            return parts
-        if self.breaks and text:
-            parts = text.replace("\n", " \n").split(" ")
-            if all(parts):
-                return parts
-        return STRETCH.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
-
     def encode(self, text: str | None, doc: object) -> np.ndarray:
         """Piece ids of a text; ``doc`` is part of the key of each occurrence."""
-        if not text:
-            return np.empty(0, np.uint32)
-        if self.branches > REMEMBERED:
-            self.before, self.known, self.branches = self.known, {}, 0
-        get = self.known.get
-        parts = [get(s) or self._root(s) for s in self._parts(text)]
-        lengths = np.fromiter((len(b.stretch) for b in parts), np.uint64, len(parts))
-        own = np.uint64(xxhash.xxh64_intdigest(str(doc).encode(), self.seed))
-        keys = own + (np.cumsum(lengths) - lengths) * np.uint64(PLACE)
+        return self.encode_all([text], [doc])[0]
+
+    def encode_all(self, texts: list[str | None], docs: list) -> list[np.ndarray]:
+        """Piece ids of each text, CHUNK characters or the rest of a stretch more at a time."""
+        out, held, size = [[] for _ in texts], [], 0
+        for i, (text, doc) in enumerate(zip(texts, docs)):
+            if not text:
+                continue
+            key, at, text = xxhash.xxh64_intdigest(str(doc).encode(), self.seed), 0, " " + text
+            while at < len(text):
+                cut = START.search(text, at + CHUNK) if len(text) - at > CHUNK else None
+                end = cut.start() if cut else len(text)
+                held.append((i, text[at:end], key + at * PLACE & MASK, not at))
+                size, at = size + end - at, end
+                if size >= CHUNK:
+                    self._encode(held, out)
+                    held, size = [], 0
+        if held:
+            self._encode(held, out)
+        return [x[0] if len(x) == 1 else np.concatenate([np.empty(0, np.uint32), *x]) for x in out]
+
+    def _encode(self, held: list[tuple[int, str, int, bool]], out: list[list[np.ndarray]]) -> None:
+        """Put the ids of parts of texts (number, part, key of its first place, whether it starts with the space put before) to ``out``."""
+        points = np.frombuffer("".join(part for _, part, _, _ in held).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        literal = points == ord(SPACE_MARK)  # a literal mark would read as a space: its bytes
+        points[points == 32] = ord(SPACE_MARK)
+        symbols, number = self.symbol[points], self.number[points]
+        symbols[literal], number[literal] = 0, 0
+        sizes = np.array([len(part) for _, part, _, _ in held])
+        begins = np.cumsum(sizes) - sizes
+        cut = np.ones(len(points) + 1, bool)
+        cut[1:-1] = ~self.beside[number[:-1], number[1:]]
+        cut[begins] = True
+        edges = np.flatnonzero(cut)
+        starts, lengths = edges[:-1], np.diff(edges)
+        of = np.searchsorted(begins, starts, side="right") - 1
+        keys = np.array([key for _, _, key, _ in held], np.uint64)[of] + (starts - begins[of]).astype(np.uint64) * np.uint64(PLACE)
+        least = 2
+        for width in sorted({*(w for w in WIDTHS if w < SHORT), SHORT}):
+            rows = np.flatnonzero((lengths >= least) & (lengths <= width))
+            least = max(least, width + 1)
+            if rows.size:
+                self._agendas(symbols, starts[rows], lengths[rows], width, keys[rows])
+        for i in np.flatnonzero((lengths > SHORT) & (lengths > 1)).tolist():
+            at, stretch = int(starts[i]), points[starts[i]:starts[i] + lengths[i]].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+            for piece in merged_by_key(stretch, self.ranks, int(keys[i]), self.limit):
+                if len(piece) > 1:
+                    symbols[at:at + len(piece)] = DEAD
+                    symbols[at] = self.ids[piece] + 1
+                at += len(piece)
+        kept = np.flatnonzero(symbols != DEAD)
+        symbols, points = symbols[kept], points[kept]
+        known = (symbols > 0) & (symbols <= len(self.raw))
+        size = np.where(known, 1, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))
+        ends = np.cumsum(size)
+        ids = np.empty(ends[-1], np.uint32)
+        ids[ends[known] - 1] = symbols[known] - 1
+        for n, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):  # the bytes of what the vocabulary lacks
+            rows = np.flatnonzero(~known & (size == n))
+            for k in range(n):
+                left = points[rows] >> 6 * (n - 1 - k)
+                ids[ends[rows] - n + k] = self.bytes[lead | left if not k else 0x80 | left & 63]
+        after = ends[np.searchsorted(kept, begins + sizes) - 1]
+        for (i, *_), a, b in zip(held, [0, *after[:-1].tolist()], after.tolist()):
+            out[i].append(ids[a:b])
+
+    def _agendas(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, keys: np.ndarray) -> None:
+        """Merge the stretches at ``starts`` of ``symbols`` in place, each a row of as many columns as the longest may have.
+
+        Behind them is a column of symbol 0, which merges with nothing: the neighbour of both ends.
+        """
+        n, step = len(starts), width + 1
+        places = np.minimum(starts[:, None] + np.arange(width), len(symbols) - 1)
+        inside = np.arange(width) < lengths[:, None]
+        sym = np.zeros((n, step), np.uint32)
+        sym[:, :width] = np.where(inside, symbols[places], 0)
+        grid = np.arange(n * step).reshape(n, step)
+        after, before = grid + 1, grid - 1
+        after[:, width], before[:, 0] = grid[:, width], grid[:, width]
+        piece = np.zeros((n, step), np.uint32)
+        piece[:, :-1] = self.merges.of(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width)
+        sym, after, before, piece = sym.ravel(), after.ravel(), before.ravel(), piece.ravel()
+        rank = np.full(n * step, NEVER, np.uint32)
+        found = np.flatnonzero(piece)
+        rank[found] = self._ranked(piece[found], keys[found // step], found % step)
+        table, active = rank.reshape(n, step), np.arange(n)
+        while active.size:
+            own = table[active]
+            best = own.argmin(axis=1)
+            open_ = own[np.arange(active.size), best] != NEVER
+            active = active[open_]
+            at = active * step + best[open_]
+            right = after[at]
+            merged, new = piece[at], after[right]
+            sym[at], sym[right], rank[right] = merged, DEAD, NEVER
+            after[at], before[new] = new, at
+            left = before[at]
+            where = np.concatenate((at, left))
+            made = self.merges.of(np.concatenate((merged, sym[left])), np.concatenate((sym[new], merged)))
+            piece[where], rank[where] = made, NEVER
+            found = np.flatnonzero(made)
+            row = np.concatenate((active, active))[found]
+            rank[where[found]] = self._ranked(made[found], keys[row], where[found] - row * step)
+        symbols[places[inside]] = sym.reshape(n, step)[:, :width][inside]
+
+    def _ranked(self, piece: np.ndarray, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Ranks of candidates, NEVER for those that _dropped tells to skip."""
+        rank = self.rank[piece]
         if self.limit:
-            self._walk(parts, keys)
-        out = [b.ids for b in parts]
-        for i in np.flatnonzero(lengths > SHORT).tolist():
-            out[i] = self._written(merged_by_key(parts[i].stretch, self.ranks, int(keys[i]), self.limit))
-        return np.frombuffer(b"".join(out), "<u4")
-
-    def _walk(self, parts: list[Branch], keys: np.ndarray) -> None:
-        """Put in place of each stretch the branch that its key leads to: _dropped for all merges at once, a skip a round."""
-        at, done = np.arange(len(parts)), np.zeros(len(parts), np.int64)
-        while at.size:
-            taken = [parts[i].taken for i in at.tolist()]
-            sizes = np.fromiter(map(len, taken), np.int64, len(taken)) // 16
-            starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(at.size), sizes)
-            places, ranks = np.frombuffer(b"".join(taken), np.uint64).reshape(-1, 2).T
-            x = ((keys[at][of] + places * np.uint64(PLACE)) ^ (ranks * np.uint64(RANK))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = ((keys + places.astype(np.uint64) * np.uint64(PLACE)) ^ (rank.astype(np.uint64) * np.uint64(RANK))) * np.uint64(0xBF58476D1CE4E5B9)
             x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)
-            hits = np.flatnonzero(x < np.uint64(self.limit))
-            who, first = np.unique(of[hits], return_index=True)
-            merge = hits[first] - starts[who]
-            at = at[who]
-            done[at] += merge
-            for i, k, n, key in zip(at.tolist(), merge.tolist(), done[at].tolist(), keys[at].tolist()):
-                parts[i] = self._child(parts[i], k, n, key)
+            rank[x < np.uint64(self.limit)] = NEVER
+        return rank
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids stand for, without the space put before it."""
@@ -291,8 +309,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: s
     def run(names, texts):
         own = segmenter(path, dropout, seed)
         columns: list[list] = [[], [], [], [], []]
-        for name, t in zip(names, texts):
-            ids = own.encode(t, name)
+        for name, t, ids in zip(names, texts, own.encode_all(texts, names)):
             row = (name, ids.size, zlib.crc32(ids.astype("<u4").tobytes()), own.decode(ids) == (t or ""), None if digest else ids.tolist())
             for c, x in zip(columns, row):
                 c.append(x)

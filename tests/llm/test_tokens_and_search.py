@@ -186,6 +186,15 @@ def test_merge_dropout_forgets_and_has_no_length_rule(monkeypatch):
     assert len(own.encode("▁" + "the international " * 60, 1)) < 500  # text behind a literal mark is merged too
 
 
+def test_texts_are_segmented_side_by_side(monkeypatch):
+    own = merge_dropout.segmenter(tokenizer_path(merge_dropout.VOCABULARY), 0.3)
+    texts = ["understanding  the international, " * 9, None, "a" * 90 + " 日本\ud800語 ▁ x▁the", "", "   lead\n\nand  gap  ", "end."] * 3
+    want = [plain_agenda(own, t, k) if t else [] for k, t in enumerate(texts)]
+    for chunk in (1 << 19, 40, 1):
+        monkeypatch.setattr(merge_dropout, "CHUNK", chunk)
+        assert [x.tolist() for x in own.encode_all(texts, list(range(len(texts))))] == want
+
+
 # --- vectors ----------------------------------------------------------------------
 
 def vectors(spark, n=700, d=16):
