@@ -111,6 +111,20 @@ def test_few_titles_of_many_events_need_no_rounds(spark, monkeypatch):
     assert max(len(parts) for parts in rounds) <= 1
 
 
+@pytest.mark.parametrize("pairs", [ST.PAIRS, 0])
+def test_many_titles_are_settled_by_their_pairs(spark, monkeypatch, pairs):
+    monkeypatch.setattr(ST, "TITLES", 0)
+    monkeypatch.setattr(ST, "PAIRS", pairs)
+    monkeypatch.setattr(title_groups, "TILE", 9)
+    met, match = [], ST._chunked_match
+    monkeypatch.setattr(ST, "_chunked_match", lambda *frames: met.append(1) or match(*frames))
+    lists = [corpus(seed, f"c{seed}", first_id=1000 * seed) for seed in range(2, 8)]
+    df = spark.createDataFrame([r for rows in lists for r in rows], SCHEMA)
+    got = {r.event_id: r.story_id for r in ST.assign_stories(df, batch=7).collect()}
+    assert got == {k: v for rows in lists for k, v in greedy(rows).items()}
+    assert bool(met) == (not pairs)  # rounds are only for components of too many pairs
+
+
 def test_rounds_of_many_distinct_titles(spark, monkeypatch):
     rng, letters = random.Random(4), "abcdefghijklmnopqrstuvwxyz"
     rows = [(i, "c", 1, 0.5, START + timedelta(seconds=12 * i), " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(4)))
